@@ -11,14 +11,19 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 500_000
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df, computed once and written to the folder in spark.checkpoint.dir, from which a lost executor's part is read again.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir, which all executors share. Only where the session names none, as in tests, one is made on
+    this machine."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not folder:
+        folder = tempfile.mkdtemp(prefix="modalith-")
+        spark.sparkContext.setCheckpointDir(folder)
+    return folder
+
 
-    Only where the session names no folder, as in tests, one is made on this machine.
-    """
-    spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="modalith-"))
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df, computed once and written to the shared folder, from which a lost executor's part is read again."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
