@@ -3,7 +3,12 @@
 Text is lowered and every run of other characters than letters, digits and underscores becomes a space. A test item of m characters
 may occur with up to k = floor(error_rate x m) edits. Cut into k + 1 pieces, one of them then occurs unchanged: an Aho-Corasick
 automaton finds all pieces in one pass over a document, and the stretch around each hit is verified by Myers' bit-parallel edit
-distance. Before that, a stretch is dismissed if it lacks more than 2k of the item's character pairs, which no k edits can destroy.
+distance.
+
+Two cheap tests come before that. Pieces are paired: if each pair had two edits or more and an unpaired piece one or more, there would
+be more than k, so in some pair one piece is unchanged and the other has at most one edit. A hit thus counts only if one half of the
+piece beside it is there unchanged too, shifted by one character at most; only for an unpaired piece this isn't asked. And a stretch
+is dismissed if it lacks more than 2k of the item's character pairs, which no k edits can destroy.
 """
 
 from __future__ import annotations
@@ -74,7 +79,7 @@ class Matcher:
     def __init__(self, items: list[tuple[str, str]], p: LeakParams) -> None:
         """items: (name, text)."""
         self.items = []
-        pieces: dict[str, list[tuple[int, int]]] = {}
+        pieces: dict[str, list[tuple[int, int, tuple | None]]] = {}
         for name, text in items:
             t = normalised(text)
             if not t:
@@ -83,8 +88,8 @@ class Matcher:
             at = len(self.items)
             self.items.append((name, t, k, _pairs(t)))
             cuts = [i * m // (k + 1) for i in range(k + 2)]
-            for a, b in zip(cuts, cuts[1:]):
-                pieces.setdefault(t[a:b], []).append((at, b))
+            for i, (a, b) in enumerate(zip(cuts, cuts[1:])):
+                pieces.setdefault(t[a:b], []).append((at, b, self._beside(t, cuts, i)))
         self.automaton = ahocorasick.Automaton()
         for piece, where in pieces.items():
             self.automaton.add_word(piece, where)
@@ -92,6 +97,17 @@ class Matcher:
             self.automaton.make_automaton()
         self.some = bool(pieces)
 
+    @staticmethod
+    def _beside(t: str, cuts: list[int], i: int) -> tuple | None:
+        """Of the piece that is paired with piece i: for either half, the half and where it is at the least and the most from the end
+        of piece i. None if it has no pair."""
+        if i | 1 > len(cuts) - 2:
+            return None
+        a, b = cuts[i ^ 1], cuts[(i ^ 1) + 1]
+        mid, end = (a + b) // 2, cuts[i + 1]
+        near, far = ((a, mid), (mid, b)) if i % 2 == 0 else ((mid, b), (a, mid))
+        return t[slice(*near)], near[0] - end, t[slice(*far)], far[0] - end - 1, far[1] - end + 1
+
     def leaks(self, text: str | None) -> list[tuple[str, int, int]]:
         """(name, edits, length) of every item that the text holds."""
         if not text or not self.some:
@@ -99,7 +115,12 @@ class Matcher:
         t = normalised(text)
         spots: dict[int, list[tuple[int, int]]] = {}
         for end, where in self.automaton.iter(t):
-            for item, b in where:
+            for item, b, beside in where:
+                if beside:
+                    near, at, far, lo, hi = beside
+                    at += end + 1
+                    if not (at >= 0 and t.startswith(near, at)) and t.find(far, max(0, end + 1 + lo), max(0, end + 1 + hi)) < 0:
+                        continue
                 _, s, k, _ = self.items[item]
                 lo = end + 1 - b - k
                 hi = lo + len(s) + 2 * k
