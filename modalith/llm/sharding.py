@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from modalith.llm.common import col, fresh
+from modalith.llm.common import col
 
 
 @dataclass(frozen=True)
@@ -54,17 +54,18 @@ def shuffled(docs: DataFrame, p: ShardParams = ShardParams()) -> DataFrame:
     """
     docs = docs.drop("shard", "position")
     shards = max(1, -(-row_bytes(docs) // p.bucket_bytes))
-    (key,) = fresh(docs, "key")
-    hashed = [col(f.name) for f in docs.schema if not isinstance(f.dataType, T.MapType)] or [F.lit(0)]
-    scattered = docs.withColumn(key, F.xxhash64(*hashed, F.lit(p.seed))).withColumn("shard", F.pmod(F.xxhash64(F.col(key), F.lit(p.seed + 1)), F.lit(shards)).cast("int"))
-    out = T.StructType([*docs.schema.fields, T.StructField("shard", T.IntegerType()), T.StructField("position", T.LongType())])
+    names = docs.columns
+    plain = docs.toDF(*(f"c{i}" for i in range(len(names))))  # a grouped map can't take names with dots
+    hashed = [F.col(f.name) for f in plain.schema if not isinstance(f.dataType, T.MapType)] or [F.lit(0)]
+    scattered = plain.withColumn("key", F.xxhash64(*hashed, F.lit(p.seed))).withColumn("shard", F.pmod(F.xxhash64("key", F.lit(p.seed + 1)), F.lit(shards)).cast("int"))
+    out = T.StructType([*plain.schema.fields, T.StructField("shard", T.IntegerType()), T.StructField("position", T.LongType())])
 
     def shuffle(bucket: pa.Table) -> pa.Table:
-        order = pc.sort_indices(bucket, [(key, "ascending")])
+        order = pc.sort_indices(bucket, [("key", "ascending")])
         mixed = order.take(pa.array(fisher_yates(len(bucket), [p.seed, bucket["shard"][0].as_py()])))
-        return bucket.drop_columns([key]).take(mixed).append_column("position", pa.array(np.arange(len(bucket))))
+        return bucket.drop_columns(["key"]).take(mixed).append_column("position", pa.array(np.arange(len(bucket))))
 
-    return scattered.groupBy("shard").applyInArrow(shuffle, out).select(*(col(c) for c in docs.columns), "shard", "position")
+    return scattered.groupBy("shard").applyInArrow(shuffle, out).toDF(*names, "shard", "position")
 
 
 def write_shards(docs: DataFrame, path: str, p: ShardParams = ShardParams()) -> None:
