@@ -1,12 +1,12 @@
 """Quality classifier: supervised subword embeddings.
 
-Every word has features: itself, its character n-grams and whether it repeats the word before it. A feature's hash picks a learned
-vector; the document's vector is the average of its features' vectors times the root of their number, so that a few telling words
-still count in a long text; a softmax over it gives the classes. All is trained by stochastic gradient descent in numpy, on the
-driver, on a bounded sample of labelled rows.
+Every word has features: itself, its character n-grams, with a mark at either end of the word, and whether it repeats the word before
+it. A feature's hash picks a learned vector; the document's vector is the average of its features' vectors times the root of their
+number, so that a few telling words still count in a long text; a softmax over it gives the classes. All is trained by stochastic
+gradient descent in numpy, on the driver, on a bounded sample of labelled rows.
 
-The output layer is linear, so a word's share in each class score is one number. Scoring looks these up by word, and only a word that
-a worker has not met yet costs hashing.
+Hashes are rolling polynomials modulo 2^64 over the text's code points, made for all places of a text at once. As the output layer is
+linear, a feature's share in the class scores is looked up and added without its vector.
 """
 
 from __future__ import annotations
@@ -16,60 +16,91 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from modalith.llm.common import col, fresh
 
 LOW, GOOD, TOXIC = 0, 1, 2
-#: Words that a worker remembers at most; then it starts anew.
-MEMO = 300_000
+#: Characters that are hashed at once; texts are cut at a space at or before it, and a longer word is cut there.
+BLOCK = 1 << 16
 
 
 @dataclass(frozen=True)
 class QualityParams:
     """train_rows and train_chars bound the sample: so many labelled rows, the first by a seeded hash, and only texts of up to so many
-    characters. Scoring has no bounds."""
+    characters. Scoring has no bounds. There are 2^bits buckets. weights: of the classes' rows in training; toxic ones are rare."""
 
     train_rows: int = 6000
     train_chars: int = 50_000
-    buckets: int = 1 << 17
+    bits: int = 18
     dim: int = 8
     epochs: int = 8
-    rate: float = 0.3
+    rate: float = 0.6
+    weights: tuple[float, float, float] = (1.0, 1.0, 3.0)
     ngrams: tuple[int, ...] = (3, 4, 5)
     seed: int = 17
-    keep_from: float = 0.5
-
-
-def word_features(word: str, p: QualityParams) -> list[int]:
-    h, low = xxhash.xxh32_intdigest, f"<{word.lower()}>"
-    return [h("w" + word) % p.buckets, *(h(f"{n}{low[i : i + n]}") % p.buckets for n in p.ngrams for i in range(len(low) - n + 1))]
-
-
-def repeat_feature(p: QualityParams) -> int:
-    return xxhash.xxh32_intdigest("the word before") % p.buckets
+    keep_from: float = 0.4
+
+
+_BASE, _MIX = 0x9E3779B97F4A7C15, np.uint64(0xD6E8FEB86659FD93)
+_POWERS = np.cumprod(np.full(BLOCK + 3, _BASE, np.uint64))
+_INVERSES = np.cumprod(np.full(BLOCK + 3, pow(_BASE, -1, 1 << 64), np.uint64))
+
+
+def _points(s: str) -> np.ndarray:
+    return np.frombuffer(s.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+
+
+def _blocks(text: str) -> Iterator[str]:
+    """The words, a space before, between and after them."""
+    s = " ".join(text.split())
+    at = 0
+    while at < len(s):
+        end = len(s)
+        if end - at > BLOCK:
+            cut = s.rfind(" ", at + 1, at + BLOCK)
+            end = cut if cut > 0 else at + BLOCK
+        yield f" {s[at:end].strip(' ')} "
+        at = end
+
+
+def features(text: str, p: QualityParams) -> np.ndarray:
+    """Buckets of all features of a text."""
+    down, base, out, last = np.uint64(64 - p.bits), np.uint64(_BASE), [], None
+    for block in _blocks(text):
+        a = _points(block)
+        starts = np.flatnonzero(a[:-1] == 32) + 1
+        words = np.add.reduceat(a * _POWERS[: len(a)], starts) * _INVERSES[starts]
+        if last is not None:
+            words = np.concatenate([last, words])
+        again = int((words[1:] == words[:-1]).sum())
+        words, last = words[1:] if last is not None else words, words[-1:]
+        out.append((words * _MIX) >> down)
+        if again:
+            out.append(np.full(again, np.uint64(p.seed) * _MIX >> down, np.uint64))
+        a = _points(block.lower())
+        inner = a != 32
+        h, whole = a, np.ones(len(a), bool)
+        for n in range(2, max(p.ngrams) + 1):
+            if len(a) < n:
+                break
+            h = h[: len(a) - n + 1] * base + a[n - 1 :]
+            if n > 2:
+                whole = whole[: len(h)] & inner[n - 2 : n - 2 + len(h)]
+            if n in p.ngrams:
+                out.append(((h[whole[: len(h)]] + np.uint64(n)) * _MIX) >> down)
+    return np.concatenate(out).astype(np.int64) if out else np.zeros(0, np.int64)
 
 
 def train(texts: list[str], classes: list[int], p: QualityParams) -> tuple[np.ndarray, np.ndarray]:
     """(share of each feature in each class score, class biases)."""
-    rng, memo, rows = np.random.default_rng(p.seed), {}, []
+    rng, rows, buckets = np.random.default_rng(p.seed), [], 1 << p.bits
     for text in texts:
-        words = text.split()
-        found = []
-        for w in words:
-            if w not in memo:
-                memo[w] = np.array(word_features(w, p), np.int64)
-            found.append(memo[w])
-        again = sum(a == b for a, b in zip(words, words[1:]))
-        if found:
-            u, n = np.unique(np.concatenate([*found, np.full(again, repeat_feature(p))]), return_counts=True)
-            rows.append((u, (n / np.sqrt(n.sum())).astype(np.float32)))
-        else:
-            rows.append((np.zeros(0, np.int64), np.zeros(0, np.float32)))
-    e = (rng.standard_normal((p.buckets, p.dim)) * 0.1).astype(np.float32)
-    w, b, seen = np.zeros((3, p.dim), np.float32), np.zeros(3, np.float32), np.full(p.buckets, 1e-8, np.float32)
+        u, n = np.unique(features(text, p), return_counts=True)
+        rows.append((u.astype(np.int32), (n / np.sqrt(max(1, n.sum()))).astype(np.float32)))
+    e = (rng.standard_normal((buckets, p.dim)) * 0.1).astype(np.float32)
+    w, b, seen = np.zeros((3, p.dim), np.float32), np.zeros(3, np.float32), np.full(buckets, 1e-8, np.float32)
     for epoch in range(p.epochs):
         rate = p.rate * (1 - epoch / p.epochs)
         for i in rng.permutation(len(rows)):
@@ -80,6 +111,7 @@ def train(texts: list[str], classes: list[int], p: QualityParams) -> tuple[np.nd
             z = np.exp(z - z.max())
             z /= z.sum()
             z[classes[i]] -= 1
+            z *= np.float32(p.weights[classes[i]])
             g = n[:, None] * (z @ w)
             w -= 0.1 * rate * np.outer(z, h)
             b -= 0.01 * rate * z
@@ -92,34 +124,15 @@ class Scorer:
     """Class probabilities of texts, under a trained model."""
 
     def __init__(self, shares: np.ndarray, bias: np.ndarray, p: QualityParams) -> None:
-        self.shares, self.bias, self.p = shares.astype(np.float64), bias.astype(np.float64), p
-        self.again = self.shares[repeat_feature(p)]
-        self._forget()
-
-    def _forget(self) -> None:
-        self.index: dict[str, int] = {}
-        self.table = np.zeros((1024, 4))
-
-    def _learn(self, word: str) -> int:
-        k = len(self.index)
-        if k == len(self.table):
-            self.table = np.concatenate([self.table, np.zeros_like(self.table)])
-        f = word_features(word, self.p)
-        self.table[k, :3], self.table[k, 3] = self.shares[f].sum(0), len(f)
-        self.index[word] = k
-        return k
+        # softmax sees differences alone: two numbers a feature, which one lookup fetches as one complex number
+        d = shares.astype(np.float32) - shares.astype(np.float32)[:, GOOD : GOOD + 1]
+        self.shares = (d[:, LOW] + 1j * d[:, TOXIC]).astype(np.complex64)
+        self.low, self.toxic, self.p = float(bias[LOW] - bias[GOOD]), float(bias[TOXIC] - bias[GOOD]), p
 
     def score(self, text: str | None) -> np.ndarray:
-        words = (text or "").split()
-        z = self.bias
-        if words:
-            if len(self.index) > MEMO:
-                self._forget()
-            get, learn = self.index.get, self._learn
-            ids = np.array([learn(w) if (k := get(w)) is None else k for w in words])
-            again = int((ids[1:] == ids[:-1]).sum())
-            total = self.table[ids].sum(0)
-            z = z + (total[:3] + again * self.again) / np.sqrt(total[3] + again)
+        f = features(text or "", self.p)
+        total = complex(self.shares.take(f).sum(dtype=np.complex128)) / max(1, len(f)) ** 0.5
+        z = np.array([self.low + total.real, 0, self.toxic + total.imag])
         z = np.exp(z - z.max())
         return z / z.sum()
 
@@ -158,7 +171,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, p: QualityParams = Qualit
         null = F.lit(None).cast("double")
         return docs.withColumns({"p_low": null, "p_good": null, "p_toxic": null, "keep": F.lit(True)})
     shares, bias = train(texts, classes, p)
-    shares = shares.astype(np.float32)  # 1.5 MB, whatever the input
+    shares = shares.astype(np.float32)  # 3 MB, whatever the input
 
     @F.pandas_udf("p_low double, p_good double, p_toxic double")
     def scored(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
