@@ -35,7 +35,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return encode_documents(docs.select("doc_id", "text")).drop("text")
+    return encode_documents(docs.select("doc_id", "text"), text=False)
 
 
 STAGES = [("quality", quality), ("exact_dedup", exact), ("near_dedup", near), ("decontamination", decontamination), ("bpe", tokens)]

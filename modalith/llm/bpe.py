@@ -6,7 +6,9 @@ of the text gives the encoding. Which of these prefixes can still lie on that wa
 which on a longer token could still run. Once all of them pass one boundary, the tokens before it are certain.
 
 A state of the transducer is the last token emitted and the bytes that wait; reading a byte emits the tokens that have become certain.
-States and moves are made when first needed and kept. A pre-token ends with a flush to the start state.
+A move is made, and its state, when it is needed a second time: the first time, the rest of the pre-token is read without making
+states, by a search for the one sequence whose neighbours all fit, which for the many pre-tokens that come but once is cheaper. A
+pre-token ends with a flush to the start state.
 
 The decoder reads tokens one by one and emits text as soon as characters are complete. It is a UTF-8 state machine over bytes; its
 moves over whole tokens are composed when first needed.
@@ -17,13 +19,16 @@ from __future__ import annotations
 import base64
 import re
 import sys
+from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from modalith.llm.common import col
 
@@ -31,8 +36,8 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: The same for texts without the characters of odd_characters(), in terms of the faster standard module.
 _FAST = r"'(?:[sdmt]|ll|ve|re)| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+"
-#: Pre-tokens, and moves, that a worker remembers at most; then it starts anew.
-MEMO, MOVES = 200_000, 400_000
+#: What a worker remembers at most: pre-tokens, in a young and an old generation of so many each; moves; pairs of tokens.
+MEMO, MOVES, PAIRS = 250_000, 150_000, 150_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -40,8 +45,8 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
-def odd_characters() -> str:
-    """A character class of those that the two patterns may class differently."""
+def odd_characters() -> tuple[str, str]:
+    """Two character classes: those that the two patterns may class differently, and a simpler one that holds all of these."""
     every = "".join(map(chr, [*range(0xD800), *range(0xE000, sys.maxunicode + 1)]))
     odd: set[str] = set()
     for a, b in ((r"\p{L}", r"[^\W\d_]"), (r"\p{N}", r"\d"), (r"\s", r"\s")):
@@ -52,40 +57,79 @@ def odd_characters() -> str:
             spans[-1][1] = c
         else:
             spans.append([c, c])
-    return "[" + "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in spans) + "]"
+    named = lambda spans: "[" + "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in spans) + "]"
+    return named(spans), named([*(x for x in spans if x[1] < 256), [256, sys.maxunicode]])
 
 
 class State:
-    __slots__ = ("moves", "prev", "tokens", "wait", "end")
+    """live: places in the waiting bytes from which on a longer token could still run, their end among them."""
 
-    def __init__(self, prev: int, wait: bytes, tokens: list[int]) -> None:
-        self.prev, self.wait, self.tokens = prev, wait, tokens  # tokens[i]: the last token of the first i + 1 waiting bytes
-        self.moves: dict[int, tuple[tuple[int, ...], State]] = {}
+    __slots__ = ("moves", "prev", "tokens", "wait", "end", "live")
+
+    def __init__(self, prev: int, wait: bytes, tokens: list[int], live: list[int]) -> None:
+        self.prev, self.wait, self.tokens, self.live = prev, wait, tokens, live  # tokens[i]: the last token of the first i + 1 waiting bytes
+        self.moves: dict[int, tuple[tuple[int, ...], State] | None] = {}
         self.end: tuple[int, ...] | None = None
 
 
+def split_table(ranks: dict[bytes, int]) -> dict[int, tuple[int, int]]:
+    """The two tokens that every longer token is merged from."""
+    pairs: dict[tuple[int, int], int] = {}
+    splits: dict[int, tuple[int, int]] = {}
+    for t, r in sorted(ranks.items(), key=lambda x: x[1]):
+        for i in range(1, len(t)):
+            a, b = ranks.get(t[:i], r), ranks.get(t[i:], r)
+            if a < r and b < r and _may_meet(a, b, pairs, splits):
+                pairs[a, b] = r
+                splits[r] = a, b
+                break
+    return splits
+
+
+def _may_meet(a: int, b: int, pairs: dict[tuple[int, int], int], splits: dict[int, tuple[int, int]]) -> bool:
+    """Whether no merge reaches over the border of a and b before each of them is whole.
+
+    The parts of a at its right end and of b at its left end are followed back through time, the later merge first: a pair of them that
+    stood side by side must not have been able to merge at that time.
+    """
+    until = 1 << 60
+    while True:
+        if pairs.get((a, b), until) < until:
+            return False
+        later, earlier = (a, b) if a > b else (b, a)
+        right = a > b
+        if later not in splits:
+            right, later = not right, earlier
+            if later not in splits:
+                return True
+        # the piece of the left token at the border is its right half, and the other way round; of two merges of one rank the left
+        # one comes first
+        if right:
+            until, a = a, splits[a][1]
+        else:
+            until, b = b + 1, splits[b][0]
+
+
 class Transducer:
-    def __init__(self, ranks: dict[bytes, int]) -> None:
+    def __init__(self, ranks: dict[bytes, int], splits: dict[int, tuple[int, int]] | None = None) -> None:
         missing = [b for b in range(256) if bytes([b]) not in ranks]
         if missing:
             raise ValueError(f"the vocabulary lacks the bytes {missing}")
-        self.ranks, self.bytes = ranks, {v: k for k, v in ranks.items()}
+        self.ranks, self.length = ranks, {v: len(k) for k, v in ranks.items()}
+        self.splits = split_table(ranks) if splits is None else splits
+        self.pairs = {v: k for k, v in self.splits.items()}
+        self.meet: dict[int, bool] = {}
         self.longest = max(map(len, ranks))
-        self.starts = {t[:i] for t in ranks for i in range(1, len(t))}  # what a longer token can begin with
-        self.fit: dict[tuple[int, int], bool] = {}
+        starts = {t[:i] for t in ranks for i in range(1, len(t))}  # what a longer token can begin with
+        #: Of every token and start: the token or -1, whether it is a start.
+        self.known = {x: (ranks.get(x, -1), x in starts) for x in starts.union(ranks)}
         self._forget()
 
     def _forget(self) -> None:
         self.made = 0
         self.states: dict[tuple[int, bytes], State] = {}
-        self.fit.clear()
-        self.start = self._state(-1, b"", [])
-
-    def _state(self, prev: int, wait: bytes, tokens: list[int]) -> State:
-        s = self.states.get((prev, wait))
-        if s is None:
-            s = self.states[prev, wait] = State(prev, wait, tokens)
-        return s
+        self.start = State(-1, b"", [], [0])
+        self.states[-1, b""] = self.start
 
     def merge(self, data: bytes) -> list[int]:
         """Plain BPE: the pair with the lowest rank merges, the leftmost first."""
@@ -100,81 +144,122 @@ class Transducer:
 
     def fits(self, a: int, b: int) -> bool:
         """Whether b may follow a (-1: nothing)."""
-        ok = self.fit.get((a, b))
+        if a < 0:
+            return True
+        key = a << 32 | b
+        ok = self.meet.get(key)
         if ok is None:
-            both = [b] if a < 0 else [a, b]
-            ok = self.fit[a, b] = self.merge(b"".join(self.bytes[t] for t in both)) == both
+            ok = self.meet[key] = _may_meet(a, b, self.pairs, self.splits)
         return ok
 
-    def _back(self, s: State, wait: bytes, tokens: list[int], at: int) -> list[int]:
-        """Boundaries on the way from at to the start of the waiting bytes."""
-        out = [at]
-        while at:
-            at -= len(self.bytes[tokens[at - 1]])
-            out.append(at)
+    def search(self, prev: int, data: bytes) -> list[int]:
+        """The tokens of data behind prev: the longest that fits, place by place, going back where none does. As the last token of
+        every prefix is a single one, no place from which the rest failed is ever tried again."""
+        get, meet, longest, n = self.ranks.get, self.meet.get, self.longest, len(data)
+        out, at, last, dead, end = [], 0, prev, (), min(n, self.longest)
+        while at < n:
+            for end in range(end, at, -1):
+                t = get(data[at:end])
+                if t is not None and (last < 0 or (ok if (ok := meet(last << 32 | t)) is not None else self.fits(last, t))) and end not in dead:
+                    out.append(t)
+                    at, last, end = end, t, min(n, end + longest)
+                    break
+            else:
+                # the place is dead: the token before it must be a shorter one
+                dead = {*dead, at}
+                end = at - 1
+                at -= self.length[out.pop()]
+                last = out[-1] if out else prev
         return out
 
+    def _read(self, prev: int, wait: bytes, tokens: list[int], live: list[int], n: int) -> list[int]:
+        """Puts behind tokens the last token of the first n waiting bytes; returns the live places after them."""
+        get, still = self.known.get, []
+        last = -1
+        for at in live:
+            found = get(wait[at:n])
+            if found:
+                t, start = found
+                if last < 0 <= t:
+                    a = tokens[at - 1] if at else prev
+                    if a < 0:
+                        last = t
+                    elif self.fits(a, t):
+                        last = t
+                if start:
+                    still.append(at)
+        still.append(n)
+        tokens.append(last)
+        return still
+
     def move(self, s: State, b: int) -> tuple[tuple[int, ...], State]:
         self.made += 1
-        wait, n = s.wait + bytes([b]), len(s.wait) + 1
-        for at in range(max(0, n - self.longest), n):
-            t = self.ranks.get(wait[at:])
-            if t is not None and self.fits(s.tokens[at - 1] if at else s.prev, t):
-                break
-        else:
-            raise AssertionError("no token fits")
-        tokens = [*s.tokens, t]
-        certain = None
-        for at in range(max(0, n - self.longest + 1), n + 1):
-            if at == n or wait[at:] in self.starts:
-                way = self._back(s, wait, tokens, at)
-                certain = set(way) if certain is None else certain & set(way)
-        cut = max(certain)  # 0 is always among them
-        emitted = self._tokens(tokens, cut)
-        out = s.moves[b] = (emitted, self._state(emitted[-1] if emitted else s.prev, wait[cut:], tokens[cut:]))
+        wait, tokens = s.wait + bytes((b,)), list(s.tokens)
+        live = self._read(s.prev, wait, tokens, s.live, len(wait))
+        # the last boundary that the ways back from all live places share
+        length, cut = self.length, len(wait)
+        for other in live[-2::-1]:
+            while cut != other:
+                if cut > other:
+                    cut -= length[tokens[cut - 1]]
+                else:
+                    other -= length[tokens[other - 1]]
+        emitted = self._tokens(tokens, cut) if cut else ()
+        key = (emitted[-1] if cut else s.prev, wait[cut:])
+        to = self.states.get(key)
+        if to is None:
+            to = self.states[key] = State(*key, tokens[cut:], [x - cut for x in live] if cut else live)
+        out = s.moves[b] = (emitted, to)
         return out
 
     def _tokens(self, tokens: list[int], at: int) -> tuple[int, ...]:
         out = []
         while at:
             out.append(tokens[at - 1])
-            at -= len(self.bytes[tokens[at - 1]])
+            at -= self.length[tokens[at - 1]]
         return tuple(reversed(out))
 
-    def encode(self, data: bytes) -> list[int]:
+    def encode(self, data: bytes) -> tuple[int, ...]:
         if self.made > MOVES:
             self._forget()
-        s, out = self.start, []
-        for b in data:
-            move = s.moves.get(b)
+        if len(self.meet) > PAIRS:
+            self.meet.clear()
+        s, out = self.start, ()
+        for i, b in enumerate(data):
+            move = s.moves.get(b, 0)
+            if move == 0:
+                s.moves[b] = None  # seen once
+                self.made += 1
+                return out + tuple(self.search(s.prev, s.wait + data[i:]))
             emitted, s = move or self.move(s, b)
             if emitted:
                 out += emitted
         if s.end is None:
             s.end = self._tokens(s.tokens, len(s.wait))
-        out += s.end
-        return out
+        return out + s.end
 
 
 class Encoder:
-    def __init__(self, ranks: dict[bytes, int], odd: str) -> None:
-        self.transducer, self.odd = Transducer(ranks), re.compile(odd)
+    def __init__(self, ranks: dict[bytes, int], odd: tuple[str, str], splits: dict[int, tuple[int, int]] | None = None) -> None:
+        self.transducer, (self.odd, self.wide) = Transducer(ranks, splits), map(re.compile, odd)
         self.fast, self.full = re.compile(_FAST), regex.compile(PATTERN)
-        self.memo: dict[str, list[int]] = {}
+        self.young: dict[str, tuple[int, ...]] = {}
+        self.old: dict[str, tuple[int, ...]] = {}
 
     def encode(self, text: str) -> list[int]:
-        if len(self.memo) > MEMO:
-            self.memo.clear()
-        memo, get, out = self.memo, self.memo.get, []
-        for piece in (self.full if self.odd.search(text) else self.fast).findall(text):
-            ids = get(piece)
-            if ids is None:
-                ids = self.transducer.encode(piece.encode("utf-8", "surrogatepass"))
-                if len(piece) <= 64:
-                    memo[piece] = ids
-            out += ids
+        get, out = self.young.get, []
+        for piece in (self.full if self.wide.search(text) and self.odd.search(text) else self.fast).findall(text):
+            out += get(piece) or self._encoded(piece)
+        if len(self.young) > MEMO:
+            self.old, self.young = self.young, {}
         return out
 
+    def _encoded(self, piece: str) -> tuple[int, ...]:
+        ids = self.old.get(piece) or self.transducer.encode(piece.encode("utf-8", "surrogatepass"))
+        if len(piece) <= 64:
+            self.young[piece] = ids
+        return ids
+
 
 #: State 0 waits for a character. (state, least next byte, greatest) -> state; a lead byte's state says what may follow it.
 _LEADS = [(0xC2, 0xDF, 1), (0xE0, 0xE0, 4), (0xE1, 0xEC, 2), (0xED, 0xED, 5), (0xEE, 0xEF, 2), (0xF0, 0xF0, 6), (0xF1, 0xF3, 3), (0xF4, 0xF4, 7)]
@@ -244,36 +329,59 @@ class Decoder:
         return "".join(out) + self.finish()
 
 
-def encode_documents(docs: DataFrame, vocabulary: str = VOCABULARY, verify: bool = True) -> DataFrame:
+_MADE: dict[str, tuple[Encoder, Decoder]] = {}
+
+
+def _codec(vocabulary: str, shared: object) -> tuple[Encoder, Decoder]:
+    """A worker makes them once; what they have learned serves its later tasks."""
+    if vocabulary not in _MADE:
+        ranks, splits, odd = shared.value
+        _MADE.clear()
+        _MADE[vocabulary] = Encoder(ranks, odd, splits), Decoder({v: k for k, v in ranks.items()})
+    return _MADE[vocabulary]
+
+
+def encode_documents(docs: DataFrame, vocabulary: str = VOCABULARY, verify: bool = True, text: bool = True) -> DataFrame:
     """docs with tokens (array<int>), n_tokens (int) and, if verify, round_trip (boolean): whether the decoder gives the text again.
-    Columns of these names in docs are replaced.
+    Columns of these names in docs are replaced. Without text, the column text is left out.
 
     A null text has null tokens, an empty one none. Strings of special tokens are ordinary text. Repeated rows are encoded alike; an
     empty table gives an empty table. The vocabulary is read by the driver alone.
     """
-    ranks, odd = load_ranks(vocabulary), odd_characters()
-    sc = docs.sparkSession.sparkContext
-    shared = sc.broadcast((ranks, odd))  # the vocabulary, about 1 MB, whatever the input
-
-    @F.pandas_udf("tokens array<int>, n_tokens int, round_trip boolean")
-    def encoded(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        ranks, odd = shared.value
-        encoder, decoder = Encoder(ranks, odd), Decoder({v: k for k, v in ranks.items()}) if verify else None
-        for texts in batches:
-            tokens, counts, right = [], [], []
-            for t in texts:
-                ids = None if t is None else encoder.encode(t)
-                tokens.append(None if ids is None else np.array(ids, np.int32))
-                counts.append(None if ids is None else len(ids))
-                right.append(None if ids is None or decoder is None else decoder.decode(ids) == t)
-            yield pd.DataFrame({"tokens": pd.Series(tokens, dtype=object), "n_tokens": pd.Series(counts, dtype="Int32"), "round_trip": pd.Series(right, dtype="boolean")})
-
+    ranks = load_ranks(vocabulary)
+    # about 3 MB, whatever the input
+    shared = docs.sparkSession.sparkContext.broadcast((ranks, split_table(ranks), odd_characters()))
+    mark = f"{vocabulary} {hash(frozenset(ranks.items()))}"
     docs = docs.drop("tokens", "n_tokens", "round_trip")
-    name = "_encoded"
-    while name in docs.columns:
-        name += "_"
-    out = docs.withColumn(name, encoded(col("text")))
-    return out.select(*(col(c) for c in docs.columns), *(F.col(f"{name}.{c}").alias(c) for c in ("tokens", "n_tokens", *(["round_trip"] if verify else []))))
+    names = [c for c in docs.columns if text or c != "text"]
+    plain = docs.select(col("text").alias("text"), *(col(c).alias(f"c{i}") for i, c in enumerate(names) if c != "text"))
+    kept = [i for i, c in enumerate(names) if c != "text"]
+    extra = [T.StructField("tokens", T.ArrayType(T.IntegerType())), T.StructField("n_tokens", T.IntegerType()), *([T.StructField("round_trip", T.BooleanType())] if verify else [])]
+    out = T.StructType([*(f for f in plain.schema if text or f.name != "text"), *extra])
+
+    def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder, decoder = _codec(mark, shared)
+        for whole in batches:
+            at = 0
+            while at < len(whole):
+                # pieces of a batch, so that little more than one text's tokens is ever held
+                some = whole.slice(at, 128)
+                at += len(some)
+                offsets, ids, right, nulls = [0], array("i"), [], []
+                for t in some["text"].to_pylist():
+                    mine = [] if t is None else encoder.encode(t)
+                    ids.extend(mine)
+                    offsets.append(len(ids))
+                    nulls.append(t is None)
+                    right.append(None if t is None or not verify else decoder.decode(mine) == t)
+                none, ends = np.array(nulls), np.array(offsets, np.int32)
+                tokens = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(ids, np.int32)) if ids else pa.array([], pa.int32()), mask=pa.array(none))
+                columns = [*(c for c, f in zip(some.columns, some.schema) if text or f.name != "text"), tokens, pa.array(np.diff(ends), mask=none), *([pa.array(right, pa.bool_())] if verify else [])]
+                yield pa.RecordBatch.from_arrays(columns, names=out.names)
+
+    made = plain.mapInArrow(encoded, out)
+    place = {names[i]: f"c{i}" for i in kept}
+    return made.select(*(F.col(place.get(c, "text")).alias(c) for c in names), *(f.name for f in extra))
 
 
 def decode_documents(tokens: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:

@@ -41,7 +41,7 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return encode_documents(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+    return encode_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), text=False)
 
 
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -35,14 +35,15 @@ TITLES = {"m": "Mr Mister Herr Monsieur Señor Sir Господин", "f": "Mrs
 _GENDER_SCRIPT = {n: k for k, names in FIRST_NAMES.items() for n in names.split()}
 _TITLE = {t: g for g, ts in TITLES.items() for t in ts.split()}
 _SURNAME = r"[^\W\d_a-zа-яё][^\W\d_]+(?:-[^\W\d_]+)?"
-_NAMED = re.compile(rf"({'|'.join(sorted({*_GENDER_SCRIPT, *_TITLE}, key=len, reverse=True))})(?:\.? ({'|'.join(sorted(_GENDER_SCRIPT, key=len, reverse=True))}))?\.? ({_SURNAME})(?!\w)")
+_FIRST, _ANY_TITLE = ("|".join(sorted(names, key=len, reverse=True)) for names in (_GENDER_SCRIPT, _TITLE))
+_NAMED = re.compile(rf"({_ANY_TITLE})\.? (?:({_FIRST}) )?({_SURNAME})(?!\w)|({_FIRST}) ({_SURNAME})(?!\w)")
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,24}(?![A-Za-z0-9])")
 _LOCAL = re.compile(r"[^\W_][\w.+%'-]*\Z|[\w.+%'-]+\Z")
 _NUMBER = re.compile(
     r"(?P<ip>\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?![\w]|\.\d))"
     r"|(?P<ssn>\d{3}-\d{2}-\d{4}(?![\w-]))"
-    r"|(?P<phone>\+\d{1,3}[ .-]?\(\d{1,5}\)[ .-]?\d{2,5}(?:[ .-]\d{2,5}){1,3}(?!\w)|\+\d{1,3}(?:[ .-]\d{2,5}){2,5}(?!\w)|\+\d{8,15}(?!\w)|\(\d{3}\)[ .-]?\d{3}[ .-]\d{4}(?!\w)|\d{3}[.-]\d{3}[.-]\d{4}(?![\w-]))"
+    r"|(?P<phone>\+\d{1,3}[ .-]?\(\d{1,5}\)[ .-]?\d{2,5}(?P<s1>[ .-])\d{2,5}(?:(?P=s1)\d{2,5}){0,2}(?!\w)|\+\d{1,3}(?P<s2>[ .-])\d{2,5}(?:(?P=s2)\d{2,8}){1,4}(?!\w)|\+\d{8,15}(?!\w)|\(\d{3}\)[ .-]?\d{3}[ .-]\d{4}(?!\w)|\d{3}[.-]\d{3}[.-]\d{4}(?![\w-]))"
     r"|(?P<card>\d{4}(?P<gap>[ -])\d{4}(?P=gap)\d{4}(?P=gap)\d{1,7}(?![\w-])|\d{4}[ -]\d{6}[ -]\d{5}(?![\w-])|\d{13,19}(?!\w))"
 )
 _START = re.compile(r"[+(]?\d+")
@@ -186,7 +187,6 @@ def find(text: str) -> list[tuple[int, int, str, str]]:
         if before.isalnum() or before == "_" or before in ".-" and m.start() > 1 and text[m.start() - 2].isalnum():
             continue
         kind, s = m.lastgroup, m.group()
-        kind = "card" if kind == "gap" else kind
         if kind == "ip":
             if all(int(x) < 256 for x in s.split(".")):
                 spans.append((*m.span(), "ip", ".".join(str(int(x)) for x in s.split("."))))
@@ -230,13 +230,13 @@ def _names(text: str) -> list[tuple[int, int, str, str]]:
     for m in _NAMED.finditer(text):
         if m.start() and (text[m.start() - 1].isalnum() or text[m.start() - 1] == "_"):
             continue
-        one, two, last = m.groups()
+        g, h = (2, 3) if m[1] else (4, 5)
+        last = m[h]
         if last in _GENDER_SCRIPT or last in _TITLE or last.isupper():
             continue
-        for g, word in ((1, one), (2, two)):
-            if word in _GENDER_SCRIPT:
-                spans.append((*m.span(g), "first", word))
-        spans.append((*m.span(3), "surname", _stem(last)[0]))
+        if m[g]:
+            spans.append((*m.span(g), "first", m[g]))
+        spans.append((*m.span(h), "surname", _stem(last)[0]))
         surnames.add(last)
     done = {s[:2] for s in spans}
     for last in surnames:
