@@ -78,7 +78,7 @@ def features(text: str, p: QualityParams) -> np.ndarray:
         words, last = words[1:] if last is not None else words, words[-1:]
         out.append((words * _MIX) >> down)
         if again:
-            out.append(np.full(again, np.uint64(p.seed) * _MIX >> down, np.uint64))
+            out.append(np.full(again, p.seed * int(_MIX) % (1 << 64) >> 64 - p.bits, np.uint64))
         a = _points(block.lower())
         inner = a != 32
         h, whole = a, np.ones(len(a), bool)

@@ -36,6 +36,7 @@ _GENDER_SCRIPT = {n: k for k, names in FIRST_NAMES.items() for n in names.split(
 _TITLE = {t: g for g, ts in TITLES.items() for t in ts.split()}
 _SURNAME = r"[^\W\d_a-zа-яё][^\W\d_]+(?:-[^\W\d_]+)?"
 _FIRST, _ANY_TITLE = ("|".join(sorted(names, key=len, reverse=True)) for names in (_GENDER_SCRIPT, _TITLE))
+_NAME = re.compile("|".join(sorted({*_GENDER_SCRIPT, *_TITLE}, key=len, reverse=True)))
 _NAMED = re.compile(rf"({_ANY_TITLE})\.? (?:({_FIRST}) )?({_SURNAME})(?!\w)|({_FIRST}) ({_SURNAME})(?!\w)")
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,24}(?![A-Za-z0-9])")
@@ -227,13 +228,18 @@ def _national(phone: str) -> str:
 
 def _names(text: str) -> list[tuple[int, int, str, str]]:
     spans, surnames = [], set()
-    for m in _NAMED.finditer(text):
-        if m.start() and (text[m.start() - 1].isalnum() or text[m.start() - 1] == "_"):
+    at = 0
+    # the alternation of plain words is searched fast; what is around them is looked at only there
+    while start := _NAME.search(text, at):
+        m = _NAMED.match(text, start.start())
+        at = start.end()
+        if not m or m.start() and (text[m.start() - 1].isalnum() or text[m.start() - 1] == "_"):
             continue
         g, h = (2, 3) if m[1] else (4, 5)
         last = m[h]
         if last in _GENDER_SCRIPT or last in _TITLE or last.isupper():
             continue
+        at = m.end()
         if m[g]:
             spans.append((*m.span(g), "first", m[g]))
         spans.append((*m.span(h), "surname", _stem(last)[0]))
