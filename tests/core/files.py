@@ -1,0 +1,51 @@
+"""Small datasets on disk."""
+
+import io
+import tarfile
+import wave
+
+import numpy as np
+
+from modalith.functions.images import encode_png
+
+
+def picture(seed, width=12, height=9, channels=3):
+    return encode_png(np.random.default_rng(seed).integers(0, 255, (height, width, channels)).astype(np.uint8))
+
+
+def sound(frames=800, rate=8000):
+    out = io.BytesIO()
+    with wave.open(out, "wb") as w:
+        w.setnchannels(1)
+        w.setsampwidth(2)
+        w.setframerate(rate)
+        w.writeframes(b"\0\0" * frames)
+    return out.getvalue()
+
+
+def write(path, content):
+    path.parent.mkdir(parents=True, exist_ok=True)
+    path.write_bytes(content if isinstance(content, bytes) else content.encode())
+
+
+def loose(root, blobs, header="image_path,caption"):
+    for name, blob in blobs.items():
+        write(root / "imgs" / name, blob)
+    write(root / "data.csv", "\n".join([header, *(f'imgs/{n},"title, of {n}"' for n in blobs)]) + "\n")
+    return str(root / "data.csv")
+
+
+def shard(root, number, blobs, table=None, more="", folders=False):
+    """table: names that the table has; by default those of the files."""
+    rows = list(blobs) if table is None else table
+    write(root / f"{number}.csv", "\n".join(["image_name,caption" + (",test" if more else ""), *(f"{n},cat {n}{more}" for n in rows)]) + "\n")
+    if folders:
+        (root / str(number)).mkdir(parents=True, exist_ok=True)
+        for n, b in blobs.items():
+            write(root / str(number) / n, b)
+        return
+    with tarfile.open(root / f"{number}.tar", "w") as tar:
+        for n, b in blobs.items():
+            info = tarfile.TarInfo(n)
+            info.size = len(b)
+            tar.addfile(info, io.BytesIO(b))
