@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Callable, Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 #: Rows that a side may have to be broadcast; sides are narrow (ids and digests), so this is some 30 MB.
 BROADCAST_ROWS = 500_000
@@ -48,5 +52,32 @@ def col(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+#: Rows of a batch that are worked on at once: a worker holds the Python objects of few texts, whatever the session's batch size.
+SLICE = 128
+
+
+def with_texts(docs: DataFrame, make: Callable[[], Callable[[list[str | None]], Sequence]], ddl: str, carry: list[str] | None = None) -> DataFrame:
+    """The columns carry of docs, by default all, and those of ddl, made from the column text. make is called once in each task; what
+    it gives makes of a list of texts a sequence of values for each column of ddl. Any names will do, dots and all."""
+    names = docs.columns if carry is None else carry
+    fields = T.StructType.fromDDL(ddl).fields
+    types = [to_arrow_type(f.dataType) for f in fields]
+    plain = docs.select(col("text").cast("string").alias("text"), *(col(c).alias(f"c{i}") for i, c in enumerate(names) if c != "text"))
+    kept = [f for f in plain.schema if f.name != "text" or "text" in names]
+    out = T.StructType([*kept, *(T.StructField(f"made{i}", f.dataType) for i, f in enumerate(fields))])
+    keys = [f.name for f in kept]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        work = make()
+        for whole in batches:
+            for at in range(0, len(whole), SLICE):
+                some = whole.slice(at, SLICE)
+                made = work(some["text"].to_pylist())
+                yield pa.RecordBatch.from_arrays([*(some[k] for k in keys), *(pa.array(v, t) for v, t in zip(made, types, strict=True))], names=out.names)
+
+    done = plain.mapInArrow(run, out)
+    return done.select(*(F.col("text" if c == "text" else f"c{i}").alias(c) for i, c in enumerate(names)), *(F.col(f"made{i}").alias(f.name) for i, f in enumerate(fields)))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -15,15 +15,14 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import ahocorasick
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from modalith.llm.common import col, fresh
+from modalith.llm.common import col, fresh, with_texts
 
 _GAP = re.compile(r"\W+")
 
@@ -155,14 +154,15 @@ def _batches(benchmark: DataFrame, p: LeakParams) -> Iterator[list[tuple[str, st
             yield sorted((str(r["item"]), r["text"]) for r in rows)
 
 
-def _found(batch: list[tuple[str, str]], p: LeakParams):  # noqa: ANN202
-    @F.pandas_udf("array<struct<item:string,edits:int,chars:int>>")
-    def found(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+def _matcher(batch: list[tuple[str, str]], p: LeakParams) -> Callable:
+    def make() -> Callable:
         matcher = Matcher(batch, p)
-        for texts in batches:
-            yield pd.Series([[{"item": a, "edits": b, "chars": c} for a, b, c in matcher.leaks(t)] for t in texts], dtype=object)
+        return lambda texts: ([[{"item": a, "edits": b, "chars": c} for a, b, c in matcher.leaks(t)] for t in texts],)
 
-    return found
+    return make
+
+
+_HITS = "array<struct<item:string,edits:int,chars:int>>"
 
 
 def benchmark_leaks(docs: DataFrame, benchmark: DataFrame, p: LeakParams = LeakParams()) -> DataFrame:
@@ -175,7 +175,7 @@ def benchmark_leaks(docs: DataFrame, benchmark: DataFrame, p: LeakParams = LeakP
     out = docs.sparkSession.createDataFrame([], "doc_id long, item string, similarity double")
     ids = docs.select(col("doc_id").cast("long").alias("doc_id"), col("text").alias("text")).where("text is not null")
     for batch in _batches(benchmark, p):
-        hits = ids.select("doc_id", F.explode(_found(batch, p)("text")).alias("h"))
+        hits = with_texts(ids, _matcher(batch, p), f"hits {_HITS}", ["doc_id"]).select("doc_id", F.explode("hits").alias("h"))
         out = out.unionByName(hits.select("doc_id", F.col("h.item").alias("item"), (1 - F.col("h.edits") / F.col("h.chars")).alias("similarity")))
     return out
 
@@ -183,6 +183,7 @@ def benchmark_leaks(docs: DataFrame, benchmark: DataFrame, p: LeakParams = LeakP
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, p: LeakParams = LeakParams()) -> DataFrame:
     """docs without the rows that hold an item. See benchmark_leaks; rows with a null text stay."""
     (hits,) = fresh(docs, "hits")
+    names = docs.columns
     for batch in _batches(benchmark, p):
-        docs = docs.withColumn(hits, F.size(_found(batch, p)(col("text")))).where(F.col(hits) == 0).drop(hits)
+        docs = with_texts(docs, _matcher(batch, p), f"{hits} {_HITS}").where(F.size(hits) == 0).select(*(col(c) for c in names))
     return docs

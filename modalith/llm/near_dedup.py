@@ -13,30 +13,31 @@ hashes, reaches the threshold. Groups are the connected components of the links.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from modalith.llm.common import checkpointed, col, fresh, sized
+from modalith.llm.common import checkpointed, col, fresh, sized, with_texts
 from modalith.llm.components import components
 
-MEMO = 300_000
+#: Words whose hashes a task remembers at most; then it starts anew.
+MEMO = 200_000
 _WORD = re.compile(r"\w+")
 
 
 @dataclass(frozen=True)
 class NearParams:
-    """bands x rows coordinates. At a Jaccard index of 0.7 a pair shares a band with probability 0.99."""
+    """bands x rows coordinates. A pair at the threshold shares a band with probability 0.95, one of index 0.6 with 0.999. A copy with
+    one word in ten exchanged has an index of about 0.57."""
 
-    threshold: float = 0.7
+    threshold: float = 0.5
     ngram: int = 3
-    bands: int = 26
-    rows: int = 5
+    bands: int = 48
+    rows: int = 4
     circle: int = 1 << 20
     seed: int = 11
 
@@ -80,9 +81,9 @@ class Circulant:
 
     def signature(self, shingles: np.ndarray) -> np.ndarray:
         at = self.sigma[(shingles % np.uint64(self.p.circle)).astype(np.int64)]
-        best = self.pi[at[:2048]].min(0)
-        for i in range(2048, len(at), 2048):
-            np.minimum(best, self.pi[at[i : i + 2048]].min(0), out=best)
+        best = self.pi[at[:1024]].min(0)
+        for i in range(1024, len(at), 1024):
+            np.minimum(best, self.pi[at[i : i + 1024]].min(0), out=best)
         return best
 
     def bands(self, shingles: np.ndarray) -> list[int]:
@@ -93,31 +94,29 @@ class Circulant:
 def signatures(docs: DataFrame, p: NearParams) -> DataFrame:
     """(doc_id, th, n, same, bands) of every row with words: hash of its text, size and digest of its set, hashes of its bands."""
 
-    @F.pandas_udf("n int, same binary, bands array<bigint>")
-    def signed(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    def make() -> Callable:
         shingler, circulant = Shingler(p.ngram), Circulant(p)
-        for texts in batches:
-            rows = []
-            for t in texts:
-                x = shingler(t)
-                rows.append((len(x), xxhash.xxh128_digest(x.tobytes()), circulant.bands(x)) if len(x) else (0, b"", []))
-            yield pd.DataFrame(rows, columns=["n", "same", "bands"])
+
+        def work(texts: list[str]) -> tuple:
+            sets = [shingler(t) for t in texts]
+            return [len(x) for x in sets], [xxhash.xxh128_digest(x.tobytes()) for x in sets], [circulant.bands(x) if len(x) else [] for x in sets]
+
+        return work
 
     some = docs.where(col("doc_id").isNotNull() & col("text").isNotNull())
-    return some.select(col("doc_id").cast("long").alias("doc_id"), F.xxhash64(col("text")).alias("th"), signed(col("text")).alias("s")).select("doc_id", "th", "s.*").where("n > 0")
+    keyed = some.select(col("doc_id").cast("long").alias("doc_id"), F.xxhash64(col("text")).alias("th"), col("text").alias("text"))
+    return with_texts(keyed, make, "n int, same binary, bands array<bigint>", ["doc_id", "th"]).where("n > 0")
 
 
 def shingle_sets(docs: DataFrame, wanted: DataFrame, p: NearParams) -> DataFrame:
     """(v, set) of the wanted documents (doc_id, th, v)."""
 
-    @F.pandas_udf("array<int>")
-    def sets(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def make() -> Callable:
         shingler = Shingler(p.ngram)
-        for texts in batches:
-            yield pd.Series([np.unique((shingler(t) >> np.uint64(32)).astype(np.uint32)).view(np.int32) for t in texts], dtype=object)
+        return lambda texts: ([np.unique((shingler(t) >> np.uint64(32)).astype(np.uint32)).view(np.int32) for t in texts],)
 
     rows = docs.select(col("doc_id").cast("long").alias("doc_id"), col("text").alias("text")).withColumn("th", F.xxhash64("text"))
-    return rows.join(sized(wanted), ["doc_id", "th"]).dropDuplicates(["v"]).select("v", sets("text").alias("set"))
+    return with_texts(rows.join(sized(wanted), ["doc_id", "th"]).dropDuplicates(["v"]).select("v", "text"), make, "set array<int>", ["v"])
 
 
 def _linked(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:

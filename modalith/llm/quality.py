@@ -11,15 +11,14 @@ linear, a feature's share in the class scores is looked up and added without its
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from modalith.llm.common import col, fresh
+from modalith.llm.common import col, fresh, with_texts
 
 LOW, GOOD, TOXIC = 0, 1, 2
 #: Characters that are hashed at once; texts are cut at a space at or before it, and a longer word is cut there.
@@ -158,6 +157,22 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, p: QualityParams) -> tup
     return [r["text"] for r in rows], [r["class"] for r in rows]
 
 
+def _scored(docs: DataFrame, labels: DataFrame, p: QualityParams, training: DataFrame, names: tuple[str, str, str]) -> DataFrame:
+    """docs with the three probabilities, under these names."""
+    texts, classes = labelled_sample(training, labels, p)
+    if not texts:
+        return docs.withColumns({n: F.lit(None).cast("double") for n in names})
+    shares, bias = train(texts, classes, p)
+    # 3 MB, whatever the input
+    shared = docs.sparkSession.sparkContext.broadcast((shares.astype(np.float32), bias))
+
+    def make() -> Callable:
+        scorer = Scorer(*shared.value, p)
+        return lambda texts: np.array([scorer.score(t) for t in texts]).reshape(-1, 3).T
+
+    return with_texts(docs, make, ", ".join(f"{n} double" for n in names))
+
+
 def quality_scores(docs: DataFrame, labels: DataFrame, p: QualityParams = QualityParams(), training: DataFrame | None = None) -> DataFrame:
     """docs with p_low, p_good, p_toxic (double) and keep (boolean); columns of these names in docs are replaced.
 
@@ -166,27 +181,12 @@ def quality_scores(docs: DataFrame, labels: DataFrame, p: QualityParams = Qualit
     an empty table. training: the documents that labels are about, if not docs.
     """
     docs = docs.drop("p_low", "p_good", "p_toxic", "keep")
-    texts, classes = labelled_sample(docs if training is None else training, labels, p)
-    if not texts:
-        null = F.lit(None).cast("double")
-        return docs.withColumns({"p_low": null, "p_good": null, "p_toxic": null, "keep": F.lit(True)})
-    shares, bias = train(texts, classes, p)
-    shares = shares.astype(np.float32)  # 3 MB, whatever the input
-
-    @F.pandas_udf("p_low double, p_good double, p_toxic double")
-    def scored(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        scorer = Scorer(shares, bias, p)
-        for texts in batches:
-            yield pd.DataFrame(np.array([scorer.score(t) for t in texts]).reshape(-1, 3), columns=["p_low", "p_good", "p_toxic"])
-
-    (s,) = fresh(docs, "scores")
-    return docs.withColumn(s, scored(col("text"))).select(
-        *(col(c) for c in docs.columns), *(F.col(f"{s}.{c}").alias(c) for c in ("p_low", "p_good", "p_toxic")), (F.col(f"{s}.p_good") >= p.keep_from).alias("keep")
-    )
+    out = _scored(docs, labels, p, docs if training is None else training, ("p_low", "p_good", "p_toxic"))
+    return out.withColumn("keep", F.coalesce(F.col("p_good") >= p.keep_from, F.lit(True)))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, p: QualityParams = QualityParams()) -> DataFrame:
     """The rows of docs that the classifier keeps, with the columns of docs alone. See quality_scores."""
-    (s,) = fresh(docs, "scores")
-    work = docs.select(F.struct(*(col(c) for c in docs.columns)).alias(s), "text", "doc_id")
-    return quality_scores(work, labels, p).where("keep").select(*(F.col(s).getField(c).alias(c) for c in docs.columns))
+    low, good, toxic = fresh(docs, "p_low", "p_good", "p_toxic")
+    kept = F.col(good).isNull() | (F.col(good) >= p.keep_from)
+    return _scored(docs, labels, p, docs, (low, good, toxic)).where(kept).select(*(col(c) for c in docs.columns))

@@ -36,8 +36,8 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored = quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
-    return scored.select("doc_id", "p_low", "p_good", "p_toxic", "keep")
+    docs = table(spark, sf_dir, "documents")
+    return quality_scores(docs.select("doc_id", "text"), table(spark, sf_dir, "labels")).drop("text")
 
 
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -96,15 +96,16 @@ def test_near_copies_have_the_recall_of_brute_force(spark):
             x = parent[x]
         return x
 
-    for a, b in itertools.combinations(range(len(rows)), 2):
-        if len(sets[a] & sets[b]) >= p.threshold * len(sets[a] | sets[b]):
-            ra, rb = root(a), root(b)
-            parent[max(ra, rb)] = min(ra, rb)
-    want = {(x, root(x)) for x in range(len(rows)) if root(x) != x}
-    got = set(map(tuple, near_copies(spark.createDataFrame(rows, SCHEMA).repartition(5), p).collect()))
-    assert len(got & want) >= 0.95 * len(want) and not got - {(a, b) for a in range(len(rows)) for b in range(len(rows)) if root(a) == root(b)}
+    near = [(a, b) for a, b in itertools.combinations(range(len(rows)), 2) if len(sets[a] & sets[b]) >= p.threshold * len(sets[a] | sets[b])]
+    for a, b in near:
+        ra, rb = root(a), root(b)
+        parent[max(ra, rb)] = min(ra, rb)
+    got = dict(map(tuple, near_copies(spark.createDataFrame(rows, SCHEMA).repartition(5), p).collect()))
+    same = lambda a, b: got.get(a, a) == got.get(b, b)
+    # recall is that of pairs at or above the threshold; one missed pair may give a whole group another head
+    assert sum(same(a, b) for a, b in near) >= 0.95 * len(near) and all(root(a) == root(b) for a, b in got.items())
     left = drop_near_copies(spark.createDataFrame(rows, SCHEMA), p)
-    assert left.count() == len(rows) - len({a for a, _ in got})
+    assert left.count() == len(rows) - len(got)
 
 
 def test_signature_estimates_jaccard():
