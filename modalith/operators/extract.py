@@ -13,6 +13,7 @@ from collections.abc import Iterator
 from typing import Any
 
 import pandas as pd
+from pyspark.resource import ExecutorResourceRequests, ResourceProfile, ResourceProfileBuilder, TaskResourceRequests
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -85,11 +86,20 @@ class ExtractionError(RuntimeError):
     pass
 
 
-def apply(df: DataFrame, spec: DatasetSpec, extractor: Extractor, on_error: str = "raise", validate: bool = True) -> DataFrame:
+def gpu_profile(gpus: int = 1, cpus: int = 1) -> ResourceProfile:
+    """A profile for apply: every task then has that many GPUs of its own, on whatever executors have them."""
+    tasks = TaskResourceRequests().cpus(cpus).resource("gpu", gpus)
+    executors = ExecutorResourceRequests().cores(cpus).resource("gpu", gpus)
+    return ResourceProfileBuilder().require(tasks).require(executors).build
+
+
+def apply(df: DataFrame, spec: DatasetSpec, extractor: Extractor, on_error: str = "raise", validate: bool = True, profile: ResourceProfile | None = None, tasks: int | None = None) -> DataFrame:
     """df with the extractor's columns; columns of these names are replaced.
 
     on_error "raise": a file that can't be read, or whose preparation fails, ends the job. "null": the row stays, its results are
     null. validate, with "null", checks at once that no row failed, and raises if one did.
+
+    profile: resources of the tasks, as of gpu_profile; tasks: into how many the rows are split, where archives don't decide it.
     """
     if on_error not in ("raise", "null"):
         raise ValueError("on_error is raise or null")
@@ -127,7 +137,9 @@ def apply(df: DataFrame, spec: DatasetSpec, extractor: Extractor, on_error: str
         get.close()
 
     sharded = any(not inline for _, inline in sources.values())
-    out = (by_archive(kept, spec) if sharded else kept).mapInPandas(run, schema)
+    if tasks and not (sharded and spec.layout == SHARDS):
+        kept = kept.repartition(tasks)
+    out = (by_archive(kept, spec) if sharded else kept).mapInPandas(run, schema, profile=profile)
     if validate and not strict and not out.where(~F.col("_ok")).isEmpty():
         raise ExtractionError(f"{type(extractor).__name__} failed on some rows")
     return out.drop("_ok")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -102,18 +104,31 @@ def shuffled(df: DataFrame, seed: int | None = None) -> DataFrame:
     return df.drop(ROW_ID).withColumn(ROW_ID, rand).orderBy(ROW_ID)
 
 
+def persisted(df: DataFrame) -> DataFrame:
+    """df, computed once and written to the folder in spark.checkpoint.dir, from which lost parts are read again. Only where the session
+    names none, as in tests, a folder is made on this machine."""
+    sc = df.sparkSession.sparkContext
+    if not df.sparkSession.conf.get("spark.checkpoint.dir", None) and sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="modalith-"))
+    return df.checkpoint(eager=True)
+
+
 def dense_index(df: DataFrame, order: list[Column], name: str = "index") -> DataFrame:
     """df with 0, 1, 2, ... in order. Rows are sorted into ranges, counted there, and numbered from where the ranges before end: no
-    task sees more than its range."""
+    task sees more than its range.
+
+    The ranges come from a sample, so the sorted rows are written before they are counted: counted and numbered apart, they could fall
+    into ranges of two different samples.
+    """
     part, place = "_part", "_place"
     ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)
-    numbered = ranged.withColumn(place, F.monotonically_increasing_id())
+    numbered = persisted(ranged.withColumn(place, F.monotonically_increasing_id()))
     numbered = numbered.withColumn(part, F.shiftright(F.col(place), 33)).withColumn(place, F.col(place).bitwiseAND((1 << 33) - 1))
     # one row for each partition
     sizes = numbered.groupBy(part).agg(F.count("*").alias("_n"))
     before = Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.select(F.col(part), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    return numbered.join(F.broadcast(starts), part).withColumn(name, F.col("_start") + F.col(place)).drop(part, place, "_n", "_start")
+    return numbered.join(F.broadcast(starts), part).withColumn(name, F.col("_start") + F.col(place)).drop(part, place, "_start")
 
 
 def even_split(df: DataFrame, parts: int, order: list[Column], name: str = "part") -> DataFrame:

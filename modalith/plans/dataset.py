@@ -60,12 +60,12 @@ class Dataset:
         """Rows where it is true; a null condition is not."""
         return self.with_df(self.df.where(condition))
 
-    def extract(self, what: Extractor | NativeExtractor | RowFunction, on_error: str = "raise", validate: bool = True) -> Dataset:
+    def extract(self, what: Extractor | NativeExtractor | RowFunction, on_error: str = "raise", validate: bool = True, **more: Any) -> Dataset:
         if isinstance(what, RowFunction):
             return self.with_df(apply_rows(self.df, what))
         if isinstance(what, NativeExtractor):
             return self.with_df(apply_native(self.df, what))
-        return self.with_df(apply(self.df, self.spec, what, on_error, validate))
+        return self.with_df(apply(self.df, self.spec, what, on_error, validate, **more))
 
     def keep_first(self, columns: list[str], order: list[Column] | None = None) -> Dataset:
         """Order: by default that of the tables."""

@@ -127,6 +127,7 @@ def test_extraction_and_its_errors(spark, tmp_path):
         d.extract(E.AudioInfo())
     with pytest.raises(ValueError):
         d.extract(E.ImageInfo(), on_error="perhaps")
+    assert d.where("image_path like '%a.png'").extract(E.ImageInfo(), tasks=3).count() == 1
     twice = d.where("image_path like '%a.png'").extract(E.ImageInfo()).extract(E.ImageInfo())
     assert twice.columns.count("width") == 1
 
@@ -276,6 +277,8 @@ def test_dedup_order_and_split(spark, good):
         got = [r["part"] for r in tables.even_split(df, parts, [F.col("id")]).orderBy("id").collect()]
         assert got == [i for i, a in enumerate(np.array_split(range(101), parts)) for _ in a]
     assert tables.dense_index(df.limit(0), [F.col("id")]).count() == 0
+    many = spark.range(40_000).select(F.xxhash64("id").alias("k"), F.repeat(F.lit("x"), 9).alias("other")).repartition(9)
+    assert [r["index"] for r in tables.dense_index(many, [F.col("k")]).orderBy("k").select("index").collect()] == list(range(40_000))
 
 
 def test_merging(spark):
