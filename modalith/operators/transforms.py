@@ -34,16 +34,16 @@ class Resizer:
     def column(self, width: Column, height: Column) -> Column:
         return X.new_size(width, height, self.mode, self.size, self.fixed, self.downscale_only)
 
-    def new_size(self, width: int, height: int) -> tuple[int, int]:
+    def new_size(self, w: int, h: int) -> tuple[int, int]:
         """The same rule for one image."""
         if self.mode is X.SizeMode.FIXED:
             return self.fixed
         small = self.mode is X.SizeMode.MIN_SIZE
-        if self.downscale_only and (min if small else max)(width, height) < self.size:
-            return width, height
-        if height >= width if small else width >= height:
-            return self.size, int(self.size * height / width)
-        return int(self.size * width / height), self.size
+        if self.downscale_only and (min if small else max)(w, h) < self.size:
+            return w, h
+        if h >= w if small else w >= h:
+            return self.size, int(self.size * h / w)
+        return int(self.size * w / h), self.size
 
 
 def _guard(spec: DatasetSpec, modality: str) -> None:

@@ -102,11 +102,11 @@ class Dataset:
         """In the tables on disk; read the dataset again to see it."""
         return metadata.rename_columns(self.spark, self.spec, names)
 
-    def delete_columns(self, columns: list[str]) -> list[str]:
-        return metadata.delete_columns(self.spark, self.spec, columns)
+    def delete_columns(self, names: list[str]) -> list[str]:
+        return metadata.delete_columns(self.spark, self.spec, names)
 
-    def update_columns(self, columns: list[str]) -> list[str]:
-        return metadata.update_columns(self.spark, self.spec, self.df, columns)
+    def update_columns(self, names: list[str]) -> list[str]:
+        return metadata.update_columns(self.spark, self.spec, self.df, names)
 
     def summary(self) -> dict[str, Any]:
         """Layout, path, modalities, columns, rows, and statistics of width, height and their ratio if they are there."""
