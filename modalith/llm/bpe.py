@@ -33,7 +33,7 @@ from pyspark.sql import types as T
 from modalith.llm.common import col
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
-PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\p{L}\p{N}\s]+|\s+(?!\S)|\s+"
 #: The same for texts without the characters of odd_characters(), in terms of the faster standard module.
 _FAST = r"'(?:[sdmt]|ll|ve|re)| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+"
 #: What a worker remembers at most: pre-tokens, in a young and an old generation of so many each; moves; pairs of tokens.

@@ -42,7 +42,7 @@ _NAMED = re.compile(rf"({_ANY_TITLE})\.? (?:({_FIRST}) )?({_SURNAME})(?!\w)|({_F
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,24}(?![A-Za-z0-9])")
 _LOCAL = re.compile(r"[^\W_][\w.+%'-]*\Z|[\w.+%'-]+\Z")
 _NUMBER = re.compile(
-    r"(?P<ip>\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?![\w]|\.\d))"
+    r"(?P<ip>(?:\d{1,3}\.){3}\d{1,3}(?!\w|\.\d))"
     r"|(?P<ssn>\d{3}-\d{2}-\d{4}(?![\w-]))"
     r"|(?P<phone>\+\d{1,3}[ .-]?\(\d{1,5}\)[ .-]?\d{2,5}(?P<s1>[ .-])\d{2,5}(?:(?P=s1)\d{2,5}){0,2}(?!\w)|\+\d{1,3}(?P<s2>[ .-])\d{2,5}(?:(?P=s2)\d{2,8}){1,4}(?!\w)|\+\d{8,15}(?!\w)|\(\d{3}\)[ .-]?\d{3}[ .-]\d{4}(?!\w)|\d{3}[.-]\d{3}[.-]\d{4}(?![\w-]))"
     r"|(?P<card>\d{4}(?P<gap>[ -])\d{4}(?P=gap)\d{4}(?P=gap)\d{1,7}(?![\w-])|\d{4}[ -]\d{6}[ -]\d{5}(?![\w-])|\d{13,19}(?!\w))"
