@@ -7,6 +7,7 @@ the result is a random order of all rows, the same whenever a lost task runs aga
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -57,15 +58,23 @@ def shuffled(docs: DataFrame, p: ShardParams = ShardParams()) -> DataFrame:
     names = docs.columns
     plain = docs.toDF(*(f"c{i}" for i in range(len(names))))  # a grouped map can't take names with dots
     hashed = [F.col(f.name) for f in plain.schema if not isinstance(f.dataType, T.MapType)] or [F.lit(0)]
-    scattered = plain.withColumn("key", F.xxhash64(*hashed, F.lit(p.seed))).withColumn("shard", F.pmod(F.xxhash64("key", F.lit(p.seed + 1)), F.lit(shards)).cast("int"))
+    shard = F.pmod(F.xxhash64("key", F.lit(p.seed + 1)), F.lit(shards)).cast("int")
+    scattered = plain.withColumn("key", F.xxhash64(*hashed, F.lit(p.seed))).withColumn("shard", shard)
     out = T.StructType([*plain.schema.fields, T.StructField("shard", T.IntegerType()), T.StructField("position", T.LongType())])
 
-    def shuffle(bucket: pa.Table) -> pa.Table:
-        order = pc.sort_indices(bucket, [("key", "ascending")])
-        mixed = order.take(pa.array(fisher_yates(len(bucket), [p.seed, bucket["shard"][0].as_py()])))
-        return bucket.drop_columns(["key"]).take(mixed).append_column("position", pa.array(np.arange(len(bucket))))
-
-    return scattered.groupBy("shard").applyInArrow(shuffle, out).toDF(*names, "shard", "position")
+    def shuffle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        whole = list(batches)
+        if not whole:
+            return
+        bucket = pa.Table.from_batches(whole)
+        if len(bucket):
+            order = pc.sort_indices(bucket, [("key", "ascending")])
+            mixed = order.take(pa.array(fisher_yates(len(bucket), [p.seed, bucket["shard"][0].as_py()])))
+            done = bucket.drop_columns(["key"]).take(mixed).append_column("position", pa.array(np.arange(len(bucket))))
+            yield from done.to_batches(max_chunksize=4096)
+
+    # one task for each bucket, and nothing sorted on the way
+    return scattered.repartitionById(shards, F.col("shard")).mapInArrow(shuffle, out).toDF(*names, "shard", "position")
 
 
 def write_shards(docs: DataFrame, path: str, p: ShardParams = ShardParams()) -> None:
