@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-#: Rows that a side may have to be broadcast; sides are narrow (ids and digests), so this is some 30 MB.
-BROADCAST_ROWS = 500_000
+#: Rows that a side may have to be broadcast; sides are narrow (ids and digests), so this is some 10 MB.
+BROADCAST_ROWS = 200_000
 
 
 def shared_folder(spark: SparkSession) -> str:

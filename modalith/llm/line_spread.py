@@ -18,6 +18,10 @@ from pyspark.sql import functions as F
 from modalith.llm.common import checkpointed, col, fresh, sized
 
 
+#: Texts with boilerplate that may be broadcast; these rows have an array each.
+MARK_ROWS = 20_000
+
+
 @dataclass(frozen=True)
 class SpreadParams:
     """A line on min_sites sites or more is boilerplate. log_k: the sketch has 2^log_k registers, its standard error is
@@ -69,7 +73,7 @@ def drop_boilerplate(docs: DataFrame, site: str = "source", p: SpreadParams = Sp
     marked = checkpointed(texts.join(sized(bad), "h").groupBy(th).agg(F.collect_set("h").alias(marks)))
     lines = F.split(col("text"), "\n")
     out = (
-        docs.withColumn(th, F.xxhash64(col("text"))).join(sized(marked), th, "left")
+        docs.withColumn(th, F.xxhash64(col("text"))).join(sized(marked, MARK_ROWS), th, "left")
         .withColumn(kept, F.when(F.col(marks).isNotNull(), F.filter(lines, lambda x: ~F.array_contains(F.col(marks), _key(x)))))
     )
     text = F.coalesce(F.array_join(F.col(kept), "\n"), col("text")).alias("text")
