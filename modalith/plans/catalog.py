@@ -8,6 +8,7 @@ from __future__ import annotations
 import io
 import os
 import tarfile
+import uuid
 import wave
 from collections.abc import Callable
 
@@ -25,6 +26,7 @@ from modalith.sources import readers
 from modalith.sources.datasource import TarShards
 from modalith.sources.spec import COLUMN, FILES, DatasetSpec, Stored, files_spec, shards_spec
 from modalith.sources.storage import local, work_folder
+from modalith.streaming import shards
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -372,10 +374,24 @@ def pipeline_end_to_end(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.run(Dataset.read(spark, spec)).df
 
 
+# streams
+
+
+@query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS rows FROM events GROUP BY ALL")
+def stream_window_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """events as a stream, counted by hour and type."""
+    rows = spark.readStream.schema("event_id long, ts timestamp, event_type string").parquet(f"{sf_dir}/event[s].parquet")  # a pattern, as a stream takes no single file
+    counts = shards.counts_per_window(rows, "ts", "event_type", "1 hour", "1 day")
+    name = f"counts_{uuid.uuid4().hex}"
+    q = counts.writeStream.format("memory").queryName(name).outputMode("complete").option("checkpointLocation", work_folder(spark, "stream")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.table(name).withColumn("start", F.col("start").cast("timestamp_ntz"))
+
+
 # media
 
 
-def _pictures(spark: SparkSession, sf_dir: str, shards: bool) -> DatasetSpec:
+def _pictures(spark: SparkSession, sf_dir: str, archives: bool) -> DatasetSpec:
     """A picture for every nation, 8 + key wide and 5 + region high, a damaged one for every seventh; as files or in five archives."""
     folder = work_folder(spark, "media")
     at = local(folder).removeprefix("file:")
@@ -386,9 +402,9 @@ def _pictures(spark: SparkSession, sf_dir: str, shards: bool) -> DatasetSpec:
     for key, region, name in rows:
         px = np.random.default_rng(key % 5).integers(0, 255, (5 + region, 8 + key, 3)).astype(np.uint8)
         blob = b"no picture" if key % 7 == 6 else encode_png(px)
-        shard = region if shards else 0
+        shard = region if archives else 0
         lines.setdefault(shard, ["file,title"]).append(f"{key}.png,{name}")
-        if shards:
+        if archives:
             tar = tars.setdefault(shard, None) or tarfile.open(f"{at}/{shard}.tar", "w")
             tars[shard] = tar
             info = tarfile.TarInfo(f"{key}.png")
@@ -400,9 +416,9 @@ def _pictures(spark: SparkSession, sf_dir: str, shards: bool) -> DatasetSpec:
     for tar in tars.values():
         tar.close()
     for shard, text in lines.items():
-        with open(f"{at}/{shard if shards else 'data'}.csv", "w") as f:
+        with open(f"{at}/{shard if archives else 'data'}.csv", "w") as f:
             f.write("\n".join(text) + "\n")
-    return shards_spec(at, image="file", text="title") if shards else files_spec(f"{at}/data.csv", image="file", text="title")
+    return shards_spec(at, image="file", text="title") if archives else files_spec(f"{at}/data.csv", image="file", text="title")
 
 
 _INFO_SQL = "SELECT CAST(n_nationkey AS INTEGER) AS n, n_name AS title, n_nationkey % 7 <> 6 AS is_correct, CASE WHEN n_nationkey % 7 <> 6 THEN 8 + n_nationkey END AS width, CASE WHEN n_nationkey % 7 <> 6 THEN 5 + n_regionkey END AS height, CASE WHEN n_nationkey % 7 <> 6 THEN 3 END AS channels FROM nation"
