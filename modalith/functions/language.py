@@ -12,6 +12,7 @@ from collections import Counter
 from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -25,20 +26,32 @@ _SAMPLES = {
 }
 
 
+def _grams(word: str) -> list[str]:
+    w = f"<{word}>"
+    return [f"={word}", *w, *map(str.__add__, w, w[1:]), *(w[i : i + 3] for i in range(len(w) - 2))]
+
+
 @lru_cache(1)
-def _profiles() -> dict[str, tuple[dict[str, float], float]]:
-    out = {}
+def _profiles() -> tuple[list[str], dict[str, int], np.ndarray]:
+    """(languages, row of each n-gram, log probabilities by row and language); row 0 is that of all others."""
+    counts = {}
     for lang, text in _SAMPLES.items():
-        c = Counter(g for w in text.split() for g in _grams(w))
-        c.update({f"={w}": 8 for w in text.split()})
+        counts[lang] = Counter(g for w in text.split() for g in _grams(w) if g[0] != "=")
+        counts[lang].update({f"={w}": 8 for w in text.split()})
+    rows = {g: i for i, g in enumerate(sorted(set().union(*counts.values())), 1)}
+    table = np.zeros((len(rows) + 1, len(counts)))
+    for k, c in enumerate(counts.values()):
         total = sum(c.values()) + 4000
-        out[lang] = ({g: math.log((n + 0.5) / total) for g, n in c.items()}, math.log(0.5 / total))
-    return out
+        table[:, k] = math.log(0.5 / total)
+        for g, n in c.items():
+            table[rows[g], k] = math.log((n + 0.5) / total)
+    return list(counts), rows, table
 
 
-def _grams(word: str) -> list[str]:
-    w = f"<{word}>"
-    return [w[i : i + n] for n in (1, 2, 3) for i in range(len(w) - n + 1)]
+@lru_cache(200_000)
+def _word(word: str) -> np.ndarray:
+    _, rows, table = _profiles()
+    return table[[rows.get(g, 0) for g in _grams(word)]].sum(0)
 
 
 def identify(text: str | None) -> tuple[str | None, float | None]:
@@ -46,11 +59,9 @@ def identify(text: str | None) -> tuple[str | None, float | None]:
     words = Counter(re.findall(r"[^\W\d_]+", (text or "").lower()))
     if not words:
         return None, None
-    scores = {}
-    for lang, (known, unknown) in _profiles().items():
-        scores[lang] = sum(n * (known.get(f"={w}", unknown) + sum(known.get(g, unknown) for g in _grams(w))) for w, n in words.items())
-    best = max(scores, key=scores.get)
-    return best, round(1 / sum(math.exp(min(0.0, s - scores[best])) for s in scores.values()), 2)
+    scores = np.array(list(words.values())) @ np.array([_word(w) for w in words])
+    best = int(scores.argmax())
+    return _profiles()[0][best], round(float(1 / np.exp(np.minimum(0.0, scores - scores[best])).sum()), 2)
 
 
 def language(text: Column, identifier: Callable[[str | None], tuple[str | None, float | None]] = identify) -> Column:
