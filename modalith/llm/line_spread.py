@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 from modalith.llm.common import checkpointed, col, fresh, sized
 
 
-#: Texts with boilerplate that may be broadcast; these rows have an array each.
-MARK_ROWS = 20_000
+#: Boilerplate lines that may be sent along with the plan, as a set of hashes; beyond, texts meet theirs in a shuffle.
+LITERAL_LINES = 20_000
 
 
 @dataclass(frozen=True)
@@ -67,15 +67,17 @@ def drop_boilerplate(docs: DataFrame, site: str = "source", p: SpreadParams = Sp
     """
     docs = docs.drop("lines_removed")
     bad = boilerplate(docs, site, p)
-    th, marks, kept = fresh(docs, "th", "marks", "kept")
-    texts = docs.where(col("text").isNotNull()).select(F.xxhash64(col("text")).alias(th), F.explode(_hashes(col("text"))).alias("h"))
-    # texts whose hashes agree share the union of their boilerplate: as each line is looked up by its own hash, that harms neither
-    marked = checkpointed(texts.join(sized(bad), "h").groupBy(th).agg(F.collect_set("h").alias(marks)))
+    few = [r["h"] for r in bad.limit(LITERAL_LINES + 1).collect()]
     lines = F.split(col("text"), "\n")
-    out = (
-        docs.withColumn(th, F.xxhash64(col("text"))).join(sized(marked, MARK_ROWS), th, "left")
-        .withColumn(kept, F.when(F.col(marks).isNotNull(), F.filter(lines, lambda x: ~F.array_contains(F.col(marks), _key(x)))))
-    )
+    th, marks, kept = fresh(docs, "th", "marks", "kept")
+    if len(few) <= LITERAL_LINES:
+        out = docs.withColumn(kept, F.filter(lines, lambda x: ~_key(x).isin(few)) if few else lines)
+    else:
+        texts = docs.where(col("text").isNotNull()).select(F.xxhash64(col("text")).alias(th), F.explode(_hashes(col("text"))).alias("h"))
+        # texts whose hashes agree share the union of their boilerplate: as each line is looked up by its own hash, that harms neither
+        marked = texts.join(sized(bad), "h").groupBy(th).agg(F.collect_set("h").alias(marks))
+        found = docs.withColumn(th, F.xxhash64(col("text"))).join(marked, th, "left")
+        out = found.withColumn(kept, F.when(F.col(marks).isNotNull(), F.filter(lines, lambda x: ~F.array_contains(F.col(marks), _key(x)))))
     text = F.coalesce(F.array_join(F.col(kept), "\n"), col("text")).alias("text")
     removed = F.coalesce(F.size(lines) - F.size(F.col(kept)), F.lit(0)).alias("lines_removed")
     return out.select(*(text if c == "text" else col(c) for c in docs.columns), removed)

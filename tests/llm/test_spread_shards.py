@@ -4,6 +4,7 @@ import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
+from modalith.llm import line_spread
 from modalith.llm.line_spread import SpreadParams, drop_boilerplate
 from modalith.llm.sharding import ShardParams, fisher_yates, shuffled, write_shards
 from tests.llm.odd import SCHEMA, no_documents, odd_documents
@@ -26,8 +27,9 @@ def brute_clean(rows, least):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("least,band", [(3, 0.1), (5, 0.9), (40, 0.1)])
-def test_boilerplate_matches_brute_force(spark, least, band):
+@pytest.mark.parametrize("least,band,literal", [(3, 0.1, 20_000), (3, 0.1, 5), (5, 0.9, 20_000), (40, 0.1, 0)])
+def test_boilerplate_matches_brute_force(spark, monkeypatch, least, band, literal):
+    monkeypatch.setattr(line_spread, "LITERAL_LINES", literal)
     rng = random.Random(least)
     rows = [(i, "\n".join(f" line {int(rng.paretovariate(0.6)) % 90}\t" if rng.random() < 0.9 else "" for _ in range(rng.randrange(9))), "en", f"s{rng.randrange(60)}" if rng.random() < 0.97 else None, 1) for i in range(900)]
     rows += [(5000, None, "en", "s1", 1), (5001, "", "en", None, 1), (5002, "\n\n", "en", "s2", 1), (5003, "line 1", "en", "s3", 1), (5003, "line 1", "en", "s3", 1)]
