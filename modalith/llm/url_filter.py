@@ -1,10 +1,10 @@
 """URL filters by hashed host-suffix and path-prefix expressions.
 
-A URL is made canonical and expanded into expressions: its host and up to four suffixes of it, each with its path with and without
-the query, and up to four prefixes of the path. A rule is such an expression and an action. URLs and rules meet in an equi-join on
-the first bytes of their expressions' SHA-256 digests; whole digests then confirm a match. Of several matching rules the one with the
-longest host wins, then the one with the longest path, then, as for one expression in several rules, the larger priority, then
-"allow" over "block".
+A URL is made canonical and expanded into expressions: its host and the suffixes of it, each with its path with and without the query,
+and the folders of the path. A rule is such an expression and an action. Of suffixes and folders, at any depth, only those are made
+that have as many labels or folders as some rule has; no other could match. URLs and rules meet in an equi-join on the first bytes of
+their expressions' SHA-256 digests; whole digests then confirm a match. Of several matching rules the one with the longest host wins,
+then the one with the longest path, then, as for one expression in several rules, the larger priority, then "allow" over "block".
 """
 
 from __future__ import annotations
@@ -37,8 +37,6 @@ class UrlParams:
     """prefix_bytes: of the digests that the join is on. Safe against misses at any value; more means fewer candidates."""
 
     prefix_bytes: int = 4
-    host_suffixes: int = 4
-    path_prefixes: int = 4
 
 
 _SCHEME = re.compile(r"^[a-zA-Z][a-zA-Z0-9+.\-]*://")
@@ -114,33 +112,33 @@ def canonical_parts(url: str) -> Column:
     return parts(F.col(url))
 
 
-def expressions(c: Column, p: UrlParams) -> Column:
-    """array of (host, path), distinct, of a struct (host, path, query)."""
-    labels, steps = F.split(c["host"], r"\."), F.split(c["path"], "/")
-    n = F.size(labels)
-    # suffixes of the last host_suffixes + 1 labels, down to two; an address has none
-    lengths = F.when(c["host"].rlike(r"^\d+\.\d+\.\d+\.\d+$") | (n < 3), F.array().cast("array<int>")).otherwise(
-        F.sequence(F.lit(2), F.least(n - 1, F.lit(p.host_suffixes + 1)))
-    )
-    hosts = F.array_distinct(F.concat(F.array(c["host"]), F.transform(lengths, lambda k: F.array_join(F.slice(labels, n - k + 1, k), "."))))
-    # "/" and the folders below it
-    depth = F.least(F.size(steps) - 1, F.lit(p.path_prefixes))
-    folders = F.transform(F.sequence(F.lit(1), depth), lambda k: F.concat(F.array_join(F.slice(steps, 1, k), "/"), F.lit("/")))
+def expressions(c: Column, labels: list[int], folders: list[int]) -> Column:
+    """array of (host, path), distinct, of a struct (host, path, query): suffixes of so many labels, paths of so many folders ("/" is
+    one), and the whole path."""
+    parts, steps = F.split(c["host"], r"\."), F.split(c["path"], "/")
+    some = lambda ns, most: F.filter(F.array(*map(F.lit, ns)).cast("array<int>"), lambda k: k <= most)
+    suffixes = F.transform(some(labels, F.size(parts)), lambda k: F.array_join(F.slice(parts, -k, k), "."))
+    # an address has no suffixes
+    hosts = F.when(c["host"].rlike(r"^\d+\.\d+\.\d+\.\d+$"), F.array(c["host"])).otherwise(suffixes)
+    prefixes = F.transform(some(folders, F.size(steps) - 1), lambda k: F.concat(F.array_join(F.slice(steps, 1, k), "/"), F.lit("/")))
     whole = F.filter(F.array(F.when(c["query"].isNotNull(), F.concat(c["path"], F.lit("?"), c["query"])), c["path"]), lambda x: x.isNotNull())
-    paths = F.array_distinct(F.concat(whole, folders))
+    paths = F.array_distinct(F.concat(whole, prefixes))
     return F.flatten(F.transform(hosts, lambda h: F.transform(paths, lambda q: F.struct(h.alias("host"), q.alias("path")))))
 
 
 def compiled_rules(rules: DataFrame, p: UrlParams) -> DataFrame:
-    """(prefix, digest, action, priority, rule) of the rules (expression, action, priority): one row for each expression."""
+    """(prefix, digest, action, priority, rule, labels, folders) of the rules (expression, action, priority): one row for each
+    expression. labels and folders: arrays of the number that its host and, if it ends in "/", its path has."""
     parts = canonical_parts("expression")
     r = rules.where("expression is not null and action in ('allow', 'block')").select("action", F.coalesce("priority", F.lit(0)).alias("priority"), parts.alias("c")).where("c.host is not null")
-    rule = F.concat("c.host", "c.path", F.coalesce(F.concat(F.lit("?"), F.col("c.query")), F.lit("")))
-    best = r.select(rule.alias("rule"), "action", "priority").groupBy("rule").agg(F.max(F.struct("priority", (F.col("action") == "allow").alias("allow"))).alias("m"))
+    path = F.concat("c.path", F.coalesce(F.concat(F.lit("?"), F.col("c.query")), F.lit("")))
+    labels, folders = F.size(F.split("c.host", r"\.")), F.when(path.endswith("/"), F.size(F.split(path, "/")) - 1)
+    each = r.select(F.concat("c.host", path).alias("rule"), "action", "priority", labels.alias("labels"), folders.alias("folders"))
+    best = each.groupBy("rule").agg(F.max(F.struct("priority", (F.col("action") == "allow").alias("allow"))).alias("m"), *(F.collect_set(n).alias(n) for n in ("labels", "folders")))
     digest = F.unhex(F.sha2("rule", 256))
     return best.select(
         F.substring(digest, 1, p.prefix_bytes).alias("prefix"), digest.alias("digest"), "rule",
-        F.when(F.col("m.allow"), "allow").otherwise("block").alias("action"), F.col("m.priority").alias("priority"),
+        F.when(F.col("m.allow"), "allow").otherwise("block").alias("action"), F.col("m.priority").alias("priority"), "labels", "folders",
     )
 
 
@@ -156,10 +154,12 @@ def url_verdicts(urls: DataFrame, rules: DataFrame, key: str = "url", p: UrlPara
     """
     distinct = urls.select(col(key).alias("url")).where("url is not null").distinct()
     parted = distinct.select("url", canonical_parts("url").alias("c")).where("c.host is not null")
-    e = parted.select("url", F.explode(expressions(F.col("c"), p)).alias("e"))
+    compiled = checkpointed(compiled_rules(rules, p))
+    labels, folders = (sorted(r[0] for r in compiled.select(F.explode(n)).distinct().collect()) for n in ("labels", "folders"))
+    e = parted.select("url", F.explode(expressions(F.col("c"), labels, folders)).alias("e"))
     digest = F.unhex(F.sha2(F.concat("e.host", "e.path"), 256))
     e = e.select("url", F.length("e.host").alias("host_length"), F.length("e.path").alias("path_length"), digest.alias("mine")).withColumn("prefix", F.substring("mine", 1, p.prefix_bytes))
-    hits = e.join(sized(checkpointed(compiled_rules(rules, p))), "prefix").where("mine = digest")
+    hits = e.join(sized(compiled.drop("labels", "folders")), "prefix").where("mine = digest")
     order = F.struct("host_length", "path_length", "priority", (F.col("action") == "allow").alias("allow"), "action", "rule")
     return hits.groupBy("url").agg(F.max(order).alias("m")).select("url", "m.action", "m.rule")
 

@@ -73,6 +73,23 @@ def test_verdicts_match_brute_force(spark, prefix):
     assert got == {u: v for u in urls if (v := brute_verdict(u, rules))}
 
 
+def test_rules_match_at_any_depth(spark):
+    host, path = "q.w.e.r.t.y.u.a.com", "/1/2/3/4/5/6/7/p.html"
+    urls = [f"http://{host}{path}?k=1", f"http://{host}/1/2/3/4/5/6/7", "http://a.com/w/x/y/z/p.html", "http://h.a.b.c.d.e.com/", "http://b.com/1/2/3/4/5/", "http://1.2.3.4/1/2/3/4/5/6", "http://localhost/x"]
+    rules = [(f"{'.'.join(host.split('.')[-k:])}{'/'.join(path.split('/')[:n])}/", ("block", "allow")[k + n & 1], 0) for k in range(2, 10) for n in range(1, 9)]
+    rules += [("a.com/w/x/y/z/", "block", 0), ("a.b.c.d.e.com/", "block", 0), ("b.com/", "block", 0), ("b.com/1/2/3/4/5/", "allow", 0), ("com/", "block", 0), ("1.2.3.4/1/2/3/4/5/", "block", 0), ("3.4/", "allow", 0)]
+
+    def verdict(url, rules):
+        h, path, _ = canonical(url)
+        found = [(len(r[0]), len(r[1]), a, r[0] + r[1]) for e, a, _ in rules if (r := canonical(e)) and (h == r[0] or h.endswith("." + r[0])) and (path == r[1] or (r[1].endswith("/") and path.startswith(r[1])))]
+        return max(found)[-2:] if found else None
+
+    pages = spark.createDataFrame([(u,) for u in urls], "url string")
+    for some in (rules, rules[::3], rules[:8], rules[-7:]):
+        got = {r["url"]: (r["action"], r["rule"]) for r in url_verdicts(pages, spark.createDataFrame(some, RULES)).collect()}
+        assert got == {u: v for u in urls if (v := verdict(u, some))}
+
+
 def test_urls_on_odd_rows(spark):
     pages = spark.createDataFrame([(1, "http://bad.com/x", "k"), (1, "http://bad.com/x", "k"), (2, None, None), (3, "http://bad.com/ok/1", "k"), (None, "http://fine.com/", "k")], "page_id long, url string, `blocked` string")
     rules = spark.createDataFrame([("bad.com/", "block", None), ("bad.com/ok/", "allow", 0)], RULES)
