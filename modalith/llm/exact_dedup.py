@@ -90,17 +90,17 @@ def digest_roots(docs: DataFrame, fan_in: int = 16, lane_rows: int = LANE_ROWS)
     """One entry for every distinct text: the roots of all lanes."""
     if fan_in < 2:
         raise ValueError("fan_in must be 2 or more")
-    parts = max(1, docs.select("doc_id").rdd.getNumPartitions())
     # the count reads no column; lanes then follow the input
     lanes = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-docs.count() // lane_rows))
-    runs = digest_runs(docs, lanes)
+    # the number of runs is read from the runs: another plan over docs, as a count of partitions is, may be cut otherwise
+    runs = checkpointed(digest_runs(docs, lanes))
+    left = (runs.agg(F.max("run")).first()[0] or 0) + 1
     rounds = 0
-    while True:
-        runs, rounds, parts = merge_round(runs, fan_in), rounds + 1, -(-parts // fan_in)
-        if parts == 1:
-            return runs
-        if rounds % 3 == 0:
+    while left > 1:
+        if rounds and rounds % 3 == 0:
             runs = checkpointed(runs)
+        runs, rounds, left = merge_round(runs, fan_in), rounds + 1, -(-left // fan_in)
+    return runs
 
 
 def repeated_texts(docs: DataFrame, fan_in: int = 16) -> DataFrame:

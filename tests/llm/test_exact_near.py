@@ -31,6 +31,25 @@ def test_exact_copies_match_brute_force(spark, parts, fan_in):
     assert sorted(map(tuple, got.collect()), key=str) == brute_copies(rows)
 
 
+def test_exact_copies_of_a_coalesced_join(spark):
+    # the plan of doc_id alone is coalesced into fewer partitions than the one with texts
+    conf = {"shuffle.partitions": "40", "autoBroadcastJoinThreshold": "-1", "adaptive.advisoryPartitionSizeInBytes": "8k", "adaptive.coalescePartitions.minPartitionSize": "1b", "adaptive.coalescePartitions.parallelismFirst": "false"}
+    before = {k: spark.conf.get(f"spark.sql.{k}", None) for k in conf}
+    rng = random.Random(8)
+    texts = ["".join(chr(rng.randrange(33, 0x2000)) for _ in range(600)) for _ in range(300)]
+    rows = [(i, rng.choice(texts)) for i in range(1500)]
+    try:
+        for k, v in conf.items():
+            spark.conf.set(f"spark.sql.{k}", v)
+        docs = spark.range(1500).withColumnRenamed("id", "doc_id").join(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id")
+        assert 2 * docs.select("doc_id").rdd.getNumPartitions() < docs.rdd.getNumPartitions()
+        got = sorted(map(tuple, exact_copies(docs, 2).collect()), key=str)
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(f"spark.sql.{k}") if v is None else spark.conf.set(f"spark.sql.{k}", v)
+    assert got == brute_copies(rows)
+
+
 def test_merge_keeps_apart_what_shares_a_short_digest():
     a, b = (5, b"x", 3, 7, 1, 1), (5, b"y", 3, 2, 1, 1)
     assert list(merged([iter([a]), iter([b]), iter([a])])) == [(5, b"x", 3, 7, 2, 2), b]
