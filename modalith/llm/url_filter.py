@@ -20,11 +20,20 @@ from pyspark.sql import functions as F
 
 from modalith.llm.common import checkpointed, col, fresh, sized
 
+#: Domains that the registered query blocks, whether or not a table has pages of them.
+BAD_DOMAINS = [
+    f"{a}-{b}.example.{top}"
+    for a in "spam cheap casino free ads adult poker loan crypto warez".split()
+    for b in "farm pills win bets track x mirror club deals shop".split()
+    for top in ("com", "net", "org")
+]
 #: Rules of the registered query: (expression, action, priority).
 DEFAULT_RULES = [
-    ("spam-farm.example.org/", "block", 0),
-    ("cheap-pills.example.com/", "block", 0),
-    ("www.cheap-pills.example.com/fr/", "allow", 0),
+    *((f"{d}/", "block", 0) for d in BAD_DOMAINS),
+    *((f"www.{d}/fr/", "allow", 0) for d in BAD_DOMAINS),
+    *((f"m.{d}/en/archive/2019/12/31/", "allow", 0) for d in BAD_DOMAINS[::3]),
+    *((f"example.{top}/en/{n}{end}", "block", 0) for top in ("com", "net", "org") for end in ("", ".html", "/") for n in range(0, 10_000, 97)),
+    *((f"example.{top}/en/{n}", "allow", 1) for top in ("com", "net", "org") for n in range(0, 10_000, 485)),
     ("example.net/es/", "block", 0),
     ("blog.ththan.example.net/es/874", "allow", 0),
     ("example.com/en/853/", "block", 0),

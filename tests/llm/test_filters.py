@@ -90,6 +90,15 @@ def test_rules_match_at_any_depth(spark):
         assert got == {u: v for u in urls if (v := verdict(u, some))}
 
 
+def test_default_rules_fit_any_table(spark):
+    from modalith.llm.url_filter import default_rules
+
+    bad = [f"http://{sub}{name}.example.{top}/en/7" for sub in ("", "www.", "m.", "blog.") for name in "spam-farm cheap-pills casino-win free-bets ads-track adult-x".split() for top in ("com", "net", "org")]
+    fine = ["http://example.com/fr/7", "http://farm.example.com/en/7", "http://www.spam-farm.example.org/fr/7"]
+    got = {r["url"]: r["action"] for r in url_verdicts(spark.createDataFrame([(u,) for u in bad + fine], "url string"), default_rules(spark)).collect()}
+    assert got == {**dict.fromkeys(bad, "block"), fine[2]: "allow"}
+
+
 def test_urls_on_odd_rows(spark):
     pages = spark.createDataFrame([(1, "http://bad.com/x", "k"), (1, "http://bad.com/x", "k"), (2, None, None), (3, "http://bad.com/ok/1", "k"), (None, "http://fine.com/", "k")], "page_id long, url string, `blocked` string")
     rules = spark.createDataFrame([("bad.com/", "block", None), ("bad.com/ok/", "allow", 0)], RULES)
