@@ -131,6 +131,12 @@ def translate_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.translated(d, "role", lambda texts: [t.upper() + "!" for t in texts], budget=20)
 
 
+@query("SELECT conv_id, turn, text, length(text) || ':' || text || '!' AS text_translated FROM conversations")
+def translate_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
+    return language.translated(d, "text", lambda texts: [f"{len(t)}:{t}!" for t in texts])
+
+
 @query("SELECT event_id, CAST(json_extract(props, '$.k') AS INTEGER) AS k FROM events")
 def json_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "events").select("event_id", F.from_json("props", "k int")["k"].alias("k"))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from modalith.functions import captions, images, language
 from modalith.functions import columns as X
 from modalith.operators.transforms import Resizer, VideoTransform
+from modalith.plans import catalog
 from modalith.sources import storage
 from tests.core.files import picture
 
@@ -131,6 +132,13 @@ def test_translation(spark):
     assert sorted(map(tuple, got), key=str) == sorted([("abc", "cba"), ("abc", "cba"), (None, None), ("bad one", None)], key=str)
 
 
+def test_whole_texts_are_translated(spark, tmp_path):
+    texts = ["", "a", "x" * 2999, "y" * 3000, "z" * 7001, *(f"{i} " * 300 for i in range(40)), None, "a"]
+    spark.createDataFrame([(i, 0, "user", t) for i, t in enumerate(texts)], "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = {r["conv_id"]: (r["text"], r["text_translated"]) for r in catalog.QUERIES["translate_texts"](spark, str(tmp_path)).collect()}
+    assert got == {i: (t, None if t is None else f"{len(t)}:{t}!") for i, t in enumerate(texts)}
+
+
 def test_language(spark, sf):
     d = spark.read.parquet(f"{sf}/documents.parquet").select("lang", language.language(F.col("text")).alias("l"))
     assert d.where("lang = l.lang").count() > 0.9 * d.count()
