@@ -111,6 +111,12 @@ def regex_clean_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "conversations").select("conv_id", "turn", captions.clean(F.col("text"), rules).alias("clean_caption"))
 
 
+@query()
+def regex_clean_exact_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = _table(spark, sf_dir, "conversations")
+    return d.select("conv_id", "turn", *(captions.clean(F.col("text"), captions.RULES[k]).alias(f"clean_caption_{k}") for k in ("en", "ru")))
+
+
 @query()
 def lang_identify(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = _table(spark, sf_dir, "documents").select("doc_id", F.col("lang").alias("known"), language.language(F.col("text")).alias("l"))

@@ -103,6 +103,18 @@ def test_clean_is_the_fold_of_cut(spark, name, caption, _):
         assert want == _
 
 
+def test_language_rules_are_a_query(spark, tmp_path):
+    texts = [c for _, c, _ in CAPTIONS] + [None, ""]
+    spark.createDataFrame([(i, 0, t) for i, t in enumerate(texts)], "conv_id long, turn long, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = {r["conv_id"]: r for r in catalog.QUERIES["regex_clean_exact_languages"](spark, str(tmp_path)).collect()}
+    for i, t in enumerate(texts):
+        for name in ("en", "ru"):
+            want = t
+            for p, r in captions.RULES[name] if t else ():
+                want = captions.cut(want, re.compile(p), r)
+            assert got[i][f"clean_caption_{name}"] == want
+
+
 def test_cut_works_on_the_stripped_lower_case():
     rule = re.compile("photo")
     assert captions.cut("A PHOTO of", rule, "") == "A  of"
