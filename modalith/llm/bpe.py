@@ -2,13 +2,14 @@
 
 A sequence of tokens is what BPE makes of its bytes exactly if every two neighbours are what BPE makes of theirs. So the last token of
 the encoding of every prefix is the one that is a suffix of it and fits the last token of what stands before; going back from the end
-of the text gives the encoding. Which of these prefixes can still lie on that way is decided by the few bytes to come: those from
-which on a longer token could still run. Once all of them pass one boundary, the tokens before it are certain.
+of the text gives the encoding. Read forwards, every prefix has one way, the tokens of its encoding, and reading a byte adds one. Which
+ways can still be part of the whole text's is decided by the few bytes to come: those from whose end on a longer token could still
+run. What all of them begin with is certain and emitted.
 
-A state of the transducer is the last token emitted and the bytes that wait; reading a byte emits the tokens that have become certain.
-A move is made, and its state, when it is needed a second time: the first time, the rest of the pre-token is read without making
-states, by a search for the one sequence whose neighbours all fit, which for the many pre-tokens that come but once is cheaper. A
-pre-token ends with a flush to the start state.
+A state of the transducer is what its live ways hold beyond that, each with the node of the tokens' trie that the bytes after it have
+reached, and, if a token may still begin right behind what was emitted, the last token emitted. States and moves are made when they
+are first needed, and all bytes are read by moves. Moves that are used stay, in two generations: when the young one is full it becomes
+the old one, whose moves come back one by one as they are used again. A pre-token ends with a flush to the start state.
 
 The decoder reads tokens one by one and emits text as soon as characters are complete. It is a UTF-8 state machine over bytes; its
 moves over whole tokens are composed when first needed.
@@ -36,8 +37,8 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\p{L}\p{N}\s]+|\s+(?!\S)|\s+"
 #: The same for texts without the characters of odd_characters(), in terms of the faster standard module.
 _FAST = r"'(?:[sdmt]|ll|ve|re)| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+"
-#: What a worker remembers at most: pre-tokens, in a young and an old generation of so many each; moves; pairs of tokens.
-MEMO, MOVES, PAIRS = 400_000, 20_000, 500_000
+#: What a worker remembers at most, in a young and an old generation of so many each: pre-tokens, moves; and pairs of tokens.
+MEMO, MOVES, PAIRS = 400_000, 200_000, 500_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -61,17 +62,6 @@ def odd_characters() -> tuple[str, str]:
     return named(spans), named([*(x for x in spans if x[1] < 256), [256, sys.maxunicode]])
 
 
-class State:
-    """live: places in the waiting bytes from which on a longer token could still run, their end among them."""
-
-    __slots__ = ("moves", "prev", "tokens", "wait", "end", "live")
-
-    def __init__(self, prev: int, wait: bytes, tokens: list[int], live: list[int]) -> None:
-        self.prev, self.wait, self.tokens, self.live = prev, wait, tokens, live  # tokens[i]: the last token of the first i + 1 waiting bytes
-        self.moves: dict[int, tuple[tuple[int, ...], State] | None] = {}
-        self.end: tuple[int, ...] | None = None
-
-
 def split_table(ranks: dict[bytes, int]) -> dict[int, tuple[int, int]]:
     """The two tokens that every longer token is merged from."""
     pairs: dict[tuple[int, int], int] = {}
@@ -110,26 +100,69 @@ def _may_meet(a: int, b: int, pairs: dict[tuple[int, int], int], splits: dict[in
             until, b = b + 1, splits[b][0]
 
 
+#: What has been emitted plays no part.
+ANY = -2
+
+#: Live ways, each as (its tokens beyond what was emitted, node reached behind them), longest bytes behind them first.
+Ways = tuple[tuple[tuple[int, ...], int], ...]
+
+
 class Transducer:
     def __init__(self, ranks: dict[bytes, int], splits: dict[int, tuple[int, int]] | None = None) -> None:
         missing = [b for b in range(256) if bytes([b]) not in ranks]
         if missing:
             raise ValueError(f"the vocabulary lacks the bytes {missing}")
-        self.ranks, self.length = ranks, {v: len(k) for k, v in ranks.items()}
+        self.ranks = ranks
         self.splits = split_table(ranks) if splits is None else splits
         self.pairs = {v: k for k, v in self.splits.items()}
         self.meet: dict[int, bool] = {}
-        self.longest = max(map(len, ranks))
-        starts = {t[:i] for t in ranks for i in range(1, len(t))}  # what a longer token can begin with
-        #: Of every token and start: the token or -1, whether it is a start.
-        self.known = {x: (ranks.get(x, -1), x in starts) for x in starts.union(ranks)}
-        self._forget()
-
-    def _forget(self) -> None:
-        self.made = 0
-        self.states: dict[tuple[int, bytes], State] = {}
-        self.start = State(-1, b"", [], [0])
-        self.states[-1, b""] = self.start
+        #: The trie of tokens: node << 8 | byte -> node; of every node its token or -1, and whether it goes on.
+        self.trie: dict[int, int] = {}
+        self.token, self.goes_on = [-1], [True]
+        for t, r in ranks.items():
+            at = 0
+            for b in t:
+                self.goes_on[at] = True
+                key = at << 8 | b
+                at = self.trie.get(key, 0)
+                if not at:
+                    at = self.trie[key] = len(self.token)
+                    self.token.append(-1)
+                    self.goes_on.append(False)
+            self.token[at] = r
+        self.read = self.made = 0
+        self.forget()
+
+    def forget(self) -> None:
+        """state << 8 | byte -> (tokens emitted, next state)."""
+        self.moves: dict[int, tuple[tuple[int, ...], int]] = {}
+        self.old: dict[int, tuple[tuple[int, ...], int]] = {}
+        #: Of states, by number: (last token emitted or ANY or -1 for none, live ways); and the other way round.
+        self.states: list[tuple[int, Ways]] = []
+        self.numbers: dict[tuple[int, Ways], int] = {}
+        self.start = self._number((-1, (((), 0),)))
+
+    def _number(self, state: tuple[int, Ways]) -> int:
+        n = self.numbers.get(state)
+        if n is None:
+            n = self.numbers[state] = len(self.states)
+            self.states.append(state)
+        return n
+
+    def _age(self) -> None:
+        """The young generation becomes the old one; states that no move of it leads from or to are forgotten, the others renumbered."""
+        kept, self.old = self.moves, {}
+        states, numbers = self.states, {}
+        self.moves, self.states, self.numbers = {}, [], {}
+        self.start = self._number((-1, (((), 0),)))
+
+        def new(n: int) -> int:
+            if n not in numbers:
+                numbers[n] = self._number(states[n])
+            return numbers[n]
+
+        for key, (emitted, to) in kept.items():
+            self.old[new(key >> 8) << 8 | key & 255] = emitted, new(to)
 
     def merge(self, data: bytes) -> list[int]:
         """Plain BPE: the pair with the lowest rank merges, the leftmost first."""
@@ -142,101 +175,71 @@ class Transducer:
             parts[i : i + 2] = [parts[i] + parts[i + 1]]
         return [self.ranks[x] for x in parts]
 
-    def fits(self, a: int, b: int) -> bool:
-        """Whether b may follow a (-1: nothing)."""
-        if a < 0:
-            return True
-        key = a << 32 | b
-        ok = self.meet.get(key)
-        if ok is None:
-            ok = self.meet[key] = _may_meet(a, b, self.pairs, self.splits)
-        return ok
-
-    def search(self, prev: int, data: bytes) -> list[int]:
-        """The tokens of data behind prev: the longest that fits, place by place, going back where none does. As the last token of
-        every prefix is a single one, no place from which the rest failed is ever tried again."""
-        get, meet, longest, n = self.ranks.get, self.meet.get, self.longest, len(data)
-        out, at, last, dead, end = [], 0, prev, (), min(n, self.longest)
-        while at < n:
-            for end in range(end, at, -1):
-                t = get(data[at:end])
-                if t is not None and (last < 0 or (ok if (ok := meet(last << 32 | t)) is not None else self.fits(last, t))) and end not in dead:
-                    out.append(t)
-                    at, last, end = end, t, min(n, end + longest)
-                    break
-            else:
-                # the place is dead: the token before it must be a shorter one
-                dead = {*dead, at}
-                end = at - 1
-                at -= self.length[out.pop()]
-                last = out[-1] if out else prev
-        return out
-
-    def _read(self, prev: int, wait: bytes, tokens: list[int], live: list[int], n: int) -> list[int]:
-        """Puts behind tokens the last token of the first n waiting bytes; returns the live places after them."""
-        get, still = self.known.get, []
-        last = -1
-        for at in live:
-            found = get(wait[at:n])
-            if found:
-                t, start = found
-                if last < 0 <= t:
-                    a = tokens[at - 1] if at else prev
-                    if a < 0:
-                        last = t
-                    elif self.fits(a, t):
-                        last = t
-                if start:
-                    still.append(at)
-        still.append(n)
-        tokens.append(last)
-        return still
-
-    def move(self, s: State, b: int) -> tuple[tuple[int, ...], State]:
-        self.made += 1
-        wait, tokens = s.wait + bytes((b,)), list(s.tokens)
-        live = self._read(s.prev, wait, tokens, s.live, len(wait))
-        # the last boundary that the ways back from all live places share
-        length, cut = self.length, len(wait)
-        for other in live[-2::-1]:
-            while cut != other:
-                if cut > other:
-                    cut -= length[tokens[cut - 1]]
+    def _move(self, at: int, b: int) -> tuple[tuple[int, ...], int]:
+        """The move from a state that is not in the young generation."""
+        key = at << 8 | b
+        move = self.old.get(key)
+        if move is None:
+            self.made += 1
+            move = self._made(at, b)
+        self.moves[key] = move
+        return move
+
+    def _made(self, at: int, b: int) -> tuple[tuple[int, ...], int]:
+        prev, ways = self.states[at]
+        step, token, goes_on, meet = self.trie.get, self.token, self.goes_on, self.meet
+        still, mine = [], None
+        for way in ways:
+            path, node = way
+            node = step(node << 8 | b)
+            if node is None:
+                continue
+            t = token[node]
+            if mine is None and t >= 0:
+                before = path[-1] if path else prev
+                if before < 0:
+                    mine = (*path, t)
                 else:
-                    other -= length[tokens[other - 1]]
-        emitted = self._tokens(tokens, cut) if cut else ()
-        key = (emitted[-1] if cut else s.prev, wait[cut:])
-        to = self.states.get(key)
-        if to is None:
-            to = self.states[key] = State(*key, tokens[cut:], [x - cut for x in live] if cut else live)
-        out = s.moves[b] = (emitted, to)
-        return out
-
-    def _tokens(self, tokens: list[int], at: int) -> tuple[int, ...]:
-        out = []
-        while at:
-            out.append(tokens[at - 1])
-            at -= self.length[tokens[at - 1]]
-        return tuple(reversed(out))
+                    pair = before << 32 | t
+                    fits = meet.get(pair)
+                    if fits is None:
+                        fits = meet[pair] = _may_meet(before, t, self.pairs, self.splits)
+                    if fits:
+                        mine = (*path, t)
+            if goes_on[node]:
+                still.append((path, node))
+        if not still:
+            return mine, self._number((mine[-1], (((), 0),)))
+        still.append((mine, 0))
+        first = still[0][0]
+        if not first:
+            # a token may still begin right behind what was emitted
+            return (), self._number((prev, tuple(still)))
+        paths = [p for p, _ in still]
+        low, high = min(paths), max(paths)
+        if low[0] != high[0]:
+            return (), self._number((ANY, tuple(still)))
+        cut = 1
+        for x, y in zip(low[1:], high[1:]):
+            if x != y:
+                break
+            cut += 1
+        rest = tuple([(p[cut:], n) for p, n in still])
+        return low[:cut], self._number((low[cut - 1] if len(first) == cut else ANY, rest))
 
     def encode(self, data: bytes) -> tuple[int, ...]:
-        if self.made > MOVES:
-            self._forget()
+        if len(self.moves) > MOVES:
+            self._age()
         if len(self.meet) > PAIRS:
             self.meet.clear()
-        s, out = self.start, ()
-        for i, b in enumerate(data):
-            move = s.moves.get(b, 0)
-            if move == 0:
-                s.moves[b] = None  # seen once
-                self.made += 1
-                return out + tuple(self.search(s.prev, s.wait + data[i:]))
-            emitted, s = move or self.move(s, b)
+        self.read += len(data)
+        at, get, make, out = self.start, self.moves.get, self._move, []
+        for b in data:
+            emitted, at = get(at << 8 | b) or make(at, b)
             if emitted:
                 out += emitted
-        if s.end is None:
-            s.end = self._tokens(s.tokens, len(s.wait))
-        return out + s.end
+        # the last way is that of all bytes
+        return (*out, *self.states[at][1][-1][0])
 
 
 class Encoder:

@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-from modalith.llm import quality
+from modalith.llm import bpe, quality
 from modalith.llm.bpe import PATTERN, VOCABULARY, Decoder, Encoder, Transducer, decode_documents, encode_documents, load_ranks, odd_characters
 from modalith.llm.quality import QualityParams, features, keep_good, quality_scores
 from tests.llm.odd import SCHEMA, no_documents, odd_documents
@@ -112,6 +112,44 @@ def test_transducer_matches_plain_merging(ranks):
         Transducer({b"a": 0})
 
 
+def test_all_bytes_are_read_by_moves_of_the_machine(ranks, monkeypatch):
+    t, rng = Transducer(ranks), random.Random(7)
+    calls, made = [], t._made
+    monkeypatch.setattr(t, "_made", lambda at, b: calls.append(1) or made(at, b))
+    pieces = [" " + "".join(rng.choices("etaoinshrdlu", k=rng.randrange(1, 9))).capitalize() for _ in range(3000)]
+    for x in pieces:
+        assert list(t.encode(x.encode())) == t.merge(x.encode())
+    assert t.read == sum(map(len, pieces)) and t.made == len(calls) == len(t.moves)
+    for x in pieces:
+        t.encode(x.encode())
+    assert t.made == len(calls) < 0.6 * t.read / 2  # nothing is made twice
+
+
+def test_moves_survive_by_use(ranks, monkeypatch):
+    monkeypatch.setattr(bpe, "MOVES", 300)
+    t, rng = Transducer(ranks), random.Random(9)
+    for i in range(1500):
+        data = bytes(rng.choices(b"abcdetion \xc3\xa9\xff0", k=rng.randrange(1, 40))) if i % 2 else b" hello"
+        made = t.made
+        assert list(t.encode(data)) == t.merge(data)
+        assert i < 2 or i % 2 or t.made == made  # what is used is never made again
+        assert len(t.moves) <= 340 and len(t.old) <= 340 and len(t.states) < 1500
+
+
+def test_long_runs_take_linear_time(ranks):
+    import time
+
+    rng, t = random.Random(10), Transducer(ranks)
+    data = "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=300_000)).encode()
+    began = time.time()
+    t.encode(data[:30_000])
+    short, began = time.time() - began, time.time()
+    ids = t.encode(data)
+    assert time.time() - began < 30 * short + 5
+    back = {v: k for k, v in ranks.items()}
+    assert b"".join(map(back.get, ids)) == data
+
+
 def test_decoder_is_that_of_utf8(ranks):
     byte = {bytes([b]): ranks[bytes([b])] for b in range(256)}
     d, rng = Decoder({v: k for k, v in ranks.items()}), random.Random(6)
