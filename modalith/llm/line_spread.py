@@ -77,7 +77,8 @@ def drop_boilerplate(docs: DataFrame, site: str = "source", p: SpreadParams = Sp
         # texts whose hashes agree share the union of their boilerplate: as each line is looked up by its own hash, that harms neither
         marked = texts.join(sized(bad), "h").groupBy(th).agg(F.collect_set("h").alias(marks))
         found = docs.withColumn(th, F.xxhash64(col("text"))).join(marked, th, "left")
-        out = found.withColumn(kept, F.when(F.col(marks).isNotNull(), F.filter(lines, lambda x: ~F.array_contains(F.col(marks), _key(x)))))
-    text = F.coalesce(F.array_join(F.col(kept), "\n"), col("text")).alias("text")
-    removed = F.coalesce(F.size(lines) - F.size(F.col(kept)), F.lit(0)).alias("lines_removed")
+        out = found.withColumn(kept, F.when(F.col(marks).isNull(), lines).otherwise(F.filter(lines, lambda x: ~F.array_contains(F.col(marks), _key(x)))))
+    text = F.array_join(F.col(kept), "\n").alias("text")
+    # the size of a null depends on the session, so it isn't asked for
+    removed = F.when(col("text").isNull(), F.lit(0)).otherwise(F.size(lines) - F.size(F.col(kept))).alias("lines_removed")
     return out.select(*(text if c == "text" else col(c) for c in docs.columns), removed)

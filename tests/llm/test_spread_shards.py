@@ -27,8 +27,16 @@ def brute_clean(rows, least):
     return sorted(out, key=str)
 
 
+@pytest.fixture(params=["true", "false"])
+def ansi(spark, request):
+    before = spark.conf.get("spark.sql.ansi.enabled")
+    spark.conf.set("spark.sql.ansi.enabled", request.param)
+    yield request.param
+    spark.conf.set("spark.sql.ansi.enabled", before)
+
+
 @pytest.mark.parametrize("least,band,literal", [(3, 0.1, 20_000), (3, 0.1, 5), (5, 0.9, 20_000), (40, 0.1, 0)])
-def test_boilerplate_matches_brute_force(spark, monkeypatch, least, band, literal):
+def test_boilerplate_matches_brute_force(spark, monkeypatch, ansi, least, band, literal):
     monkeypatch.setattr(line_spread, "LITERAL_LINES", literal)
     rng = random.Random(least)
     rows = [(i, "\n".join(f" line {int(rng.paretovariate(0.6)) % 90}\t" if rng.random() < 0.9 else "" for _ in range(rng.randrange(9))), "en", f"s{rng.randrange(60)}" if rng.random() < 0.97 else None, 1) for i in range(900)]
