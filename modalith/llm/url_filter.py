@@ -161,8 +161,8 @@ def url_verdicts(urls: DataFrame, rules: DataFrame, key: str = "url", p: UrlPara
     A null URL, or one without a host, matches nothing; so does a rule of null expression or unknown action. A rule's null priority is
     0. Repeated URLs and rules count once. Empty tables give no rows; other columns play no part.
     """
-    distinct = urls.select(col(key).alias("url")).where("url is not null").distinct()
-    parted = distinct.select("url", canonical_parts("url").alias("c")).where("c.host is not null")
+    # repeated URLs meet in the last aggregation: a shuffle before the expansion would leave that to few tasks
+    parted = urls.select(col(key).alias("url")).where("url is not null").select("url", canonical_parts("url").alias("c")).where("c.host is not null")
     compiled = checkpointed(compiled_rules(rules, p))
     labels, folders = (sorted(r[0] for r in compiled.select(F.explode(n)).distinct().collect()) for n in ("labels", "folders"))
     e = parted.select("url", F.explode(expressions(F.col("c"), labels, folders)).alias("e"))
