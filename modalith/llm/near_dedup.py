@@ -5,9 +5,10 @@ coordinate k of the signature is the least pi[sigma(x) + k] over the set, so two
 shifting pi circularly by k. Because an n-gram's values are neighbours in memory, a signature is a column-wise minimum over slices.
 
 Coordinates are cut into bands; documents with an equal band are candidates. Documents with the same set collapse first. In each
-bucket a pivot is compared with all others; what this leaves in different groups is then compared pair by pair, so no bucket is capped
-and none that is one tight group costs its square. A pair is linked only if the exact Jaccard index of the two sets, kept as 32-bit
-hashes, reaches the threshold. Groups are the connected components of the links.
+bucket a pivot is compared with all others. Buckets that then still hold several groups are compared pair by pair if they are small.
+The documents of the larger ones meet in an exact set-similarity join instead (`crowd_pairs`), so no bucket is capped and none costs
+its square. A pair is linked only if the exact Jaccard index of the two sets, kept as 64-bit hashes, reaches the threshold. Groups are
+the connected components of the links.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from modalith.llm.common import checkpointed, col, fresh, sized, with_texts
@@ -32,7 +33,8 @@ _WORD = re.compile(r"\w+")
 @dataclass(frozen=True)
 class NearParams:
     """bands x rows coordinates. A pair at the threshold shares a band with probability 0.95, one of index 0.6 with 0.999. A copy with
-    one word in ten exchanged has an index of about 0.57."""
+    one word in ten exchanged has an index of about 0.57. crowd: buckets of more documents are a crowd, and n-grams of more documents
+    of crowds are hot; it changes the plan, not the links."""
 
     threshold: float = 0.5
     ngram: int = 3
@@ -40,6 +42,7 @@ class NearParams:
     rows: int = 4
     circle: int = 1 << 20
     seed: int = 11
+    crowd: int = 64
 
 
 class Shingler:
@@ -92,7 +95,8 @@ class Circulant:
 
 
 def signatures(docs: DataFrame, p: NearParams) -> DataFrame:
-    """(doc_id, th, n, same, bands) of every row with words: hash of its text, size and digest of its set, hashes of its bands."""
+    """(v, doc_id, th, n, same, bands) of every row with words: a number, hash of its text, size and digest of its set, hashes of its
+    bands; checkpointed, so that the numbers stay."""
 
     def make() -> Callable:
         shingler, circulant = Shingler(p.ngram), Circulant(p)
@@ -105,18 +109,20 @@ def signatures(docs: DataFrame, p: NearParams) -> DataFrame:
 
     some = docs.where(col("doc_id").isNotNull() & col("text").isNotNull())
     keyed = some.select(col("doc_id").cast("long").alias("doc_id"), F.xxhash64(col("text")).alias("th"), col("text").alias("text"))
-    return with_texts(keyed, make, "n int, same binary, bands array<bigint>", ["doc_id", "th"]).where("n > 0")
+    made = with_texts(keyed, make, "n int, same binary, bands array<bigint>", ["doc_id", "th"]).where("n > 0")
+    return checkpointed(made.withColumn("v", F.monotonically_increasing_id()))
 
 
 def shingle_sets(docs: DataFrame, wanted: DataFrame, p: NearParams) -> DataFrame:
-    """(v, set) of the wanted documents (doc_id, th, v)."""
+    """(v, set) of the wanted documents (doc_id, th, v); checkpointed."""
 
     def make() -> Callable:
         shingler = Shingler(p.ngram)
-        return lambda texts: ([np.unique((shingler(t) >> np.uint64(32)).astype(np.uint32)).view(np.int32) for t in texts],)
+        return lambda texts: ([shingler(t).view(np.int64) for t in texts],)
 
     rows = docs.select(col("doc_id").cast("long").alias("doc_id"), col("text").alias("text")).withColumn("th", F.xxhash64("text"))
-    return with_texts(rows.join(sized(wanted), ["doc_id", "th"]).dropDuplicates(["v"]).select("v", "text"), make, "set array<int>", ["v"])
+    found = with_texts(rows.join(sized(wanted), ["doc_id", "th"]).dropDuplicates(["v"]).select("v", "text"), make, "set array<bigint>", ["v"])
+    return checkpointed(found)
 
 
 def _linked(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
@@ -124,41 +130,82 @@ def _linked(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     left = pairs.join(sets.select(F.col("v").alias("a"), F.col("set").alias("x")), "a")
     both = left.join(sets.select(F.col("v").alias("b"), F.col("set").alias("y")), "b")
     common = F.size(F.array_intersect("x", "y"))
-    return both.where(common >= F.lit(threshold) * (F.size("x") + F.size("y") - common)).select("a", "b")
+    return both.where(common >= F.lit(threshold) * (F.size("x") + F.size("y") - common)).select("a", "b").distinct()
+
+
+def crowd_pairs(sets: DataFrame, p: NearParams) -> DataFrame:
+    """Pairs (a, b) of the sets (v, set), among them enough that their links join all that the links of all pairs would.
+
+    Sets whose index reaches the threshold t share an n-gram among the first size - ceil(t x size) + 1 of each, whatever the order. In
+    order of rising frequency these are mostly rare. N-grams in at most `crowd` sets give their pairs. A pair that shares none of these
+    shares hot n-grams alone, of which either then has t x size or more; such a set is paired with the smallest set of each distinct
+    selection of hot n-grams with which it shares one. That is enough: if i and j are linked by hot n-grams alone, and r and s are the
+    smallest sets with the selections of i and of j, then so are i and s, r and j, and r and s, as an index only grows with a smaller
+    union. Sets over a few n-grams, in ever new selections that are all hot, cost the square of the number of selections.
+    """
+    n = F.size("set")
+    sized_sets = sets.select("v", n.alias("n"), F.explode("set").alias("t"))
+    counts = sized_sets.groupBy("t").agg(F.count("*").alias("f"))
+    ordered = sized_sets.join(counts, "t").groupBy("v", "n").agg(F.sort_array(F.collect_list(F.struct("f", "t"))).alias("ts"))
+    keep = (F.col("n") - F.ceil(F.lit(p.threshold) * F.col("n") - 1e-9) + 1).cast("int")
+    hot = F.filter("ts", lambda x: x["f"] > p.crowd)
+    marked = checkpointed(
+        ordered.select(
+            "v", "n", F.transform(F.filter(F.slice("ts", 1, keep), lambda x: x["f"] <= p.crowd), lambda x: x["t"]).alias("cold"),
+            F.when(F.size(hot) >= F.lit(p.threshold) * F.col("n") - 1e-9, F.transform(hot, lambda x: x["t"])).alias("hot"), keep.alias("keep"),
+        )
+    )
+    fits = F.least("n", "m") >= F.lit(p.threshold) * F.greatest("n", "m")
+    cold = marked.select("v", "n", F.explode("cold").alias("t"))
+    rare = cold.join(cold.select(F.col("v").alias("b"), F.col("n").alias("m"), "t"), "t").where("v < b").where(fits).select(F.col("v").alias("a"), "b")
+    heavy = marked.where("hot is not null").select("v", "n", "keep", F.array_sort("hot").alias("hot")).withColumn("key", F.sha2(F.array_join("hot", ","), 256))
+    least = heavy.groupBy("key").agg(F.min(F.struct("n", "v")).alias("r"), F.first("hot").alias("hot"))
+    mine = heavy.select("v", "n", F.explode("hot").alias("t"))
+    # of the smallest sets the t-prefix within the hot n-grams is enough: a pair that shares these alone has t x size of them in common
+    theirs = least.select(F.col("r.v").alias("b"), F.col("r.n").alias("m"), F.explode(F.slice("hot", 1, F.greatest(F.lit(1), F.size("hot") - F.ceil(F.lit(p.threshold) * F.col("r.n") - 1e-9).cast("int") + 1))).alias("t"))
+    often = mine.join(theirs, "t").where("v != b").where(fits).select(F.col("v").alias("a"), "b")
+    return rare.unionByName(often).distinct()
 
 
 def near_groups(docs: DataFrame, p: NearParams = NearParams()) -> DataFrame:
-    """(doc_id, th, kept_id, kept_th) of every document but the kept one of each group of near copies; checkpointed.
+    """(doc_id, th, kept_id, kept_th) of every document but the kept one of each group of near copies, each once.
 
-    Nodes are structs (doc_id, th), so the least node is the one with the smallest doc_id.
+    Nodes are rows, known by number. Wherever rows meet by a key, be it a set, a bucket or a group, what all of them need of each other
+    is aggregated first and joined back: a key that a third of all rows have is then split like any skewed join.
     """
-    sigs = checkpointed(signatures(docs, p))
-    node = F.struct("doc_id", "th").alias("v")
-    same = Window.partitionBy("same")
-    nodes = sigs.select(node, "n", "same", "bands").withColumn("rep", F.min("v").over(same))
-    twins = nodes.where("v != rep").select(F.col("v").alias("a"), F.col("rep").alias("b"))
-    rows = nodes.where("v = rep").dropDuplicates(["v"]).select("v", "n", F.posexplode("bands").alias("band", "h"))
-    bucket = Window.partitionBy("band", "h")
-    full = checkpointed(rows.withColumn("size", F.count("*").over(bucket)).where("size > 1").select("band", "h", "v", "n"))
-    sets = checkpointed(shingle_sets(docs, checkpointed(full.select("v").distinct().select("v.doc_id", "v.th", "v")), p))
+    sigs = signatures(docs, p)
+    alike = checkpointed(sigs.groupBy("same").agg(F.min("v").alias("rep"), F.max("v").alias("top")).where("rep != top").select("same", "rep"))
+    paired = sigs.join(sized(alike), "same", "left")
+    twins = paired.where("v != rep").select(F.col("v").alias("a"), F.col("rep").alias("b"))
+    rows = paired.where("rep is null or v = rep").select("v", "n", F.explode("bands").alias("h"))
+    buckets = rows.groupBy("h").agg(F.min("v").alias("p"), F.max("v").alias("top"), F.count("*").alias("size")).where("p != top")
+    full = checkpointed(rows.join(buckets.drop("top"), "h"))  # (h, v, n, p, size) of the buckets with several nodes, of which p is the pivot
+    members = checkpointed(full.select("v").distinct())
+    wanted = checkpointed(sigs.select("v", "doc_id", "th").join(sized(members), "v", "left_semi"))
+    sets = shingle_sets(docs, wanted.groupBy("doc_id", "th").agg(F.min("v").alias("v")), p)
     fits = F.least("n", "m") >= F.lit(p.threshold) * F.greatest("n", "m")  # else the index can't reach the threshold
-    # the pivot is the same node in as many bands as can be
-    order = F.min(F.struct(F.xxhash64("v", F.lit(p.seed)).alias("o"), "v", F.col("n").alias("m"))).over(bucket)
-    stars = full.withColumn("p", order).select("v", "n", F.col("p.v").alias("b"), F.col("p.m").alias("m")).where("v != b").where(fits)
-    first = checkpointed(_linked(stars.select(F.col("v").alias("a"), "b").distinct(), sets, p.threshold))
+    pivots = full.where("v = p").select("p", F.col("n").alias("m")).distinct()
+    stars = full.where("v != p").select("v", "n", "p").distinct().join(pivots, "p").where(fits).select(F.col("v").alias("a"), F.col("p").alias("b"))
+    first = checkpointed(_linked(stars, sets, p.threshold))
     label = components(first)
     named = full.join(label.select(F.col("a").alias("v"), F.col("b").alias("root")), "v", "left").withColumn("root", F.coalesce("root", "v"))
-    # buckets that still hold several groups: every pair of nodes of different groups, but those with the pivot
-    split = (
-        named.withColumn("p", order.getField("v"))
-        .withColumns({"lo": F.min("root").over(bucket), "hi": F.max("root").over(bucket), "size": F.count("*").over(bucket)})
-        .where("lo != hi and size > 2 and v != p").select("band", "h", "v", "n", "root")
-    )
-    other = split.select("band", "h", F.col("v").alias("b"), F.col("n").alias("m"), F.col("root").alias("root2"))
-    rest = split.join(other, ["band", "h"]).where("v < b and root != root2").where(fits).select(F.col("v").alias("a"), "b").distinct()
-    links = first.unionByName(_linked(rest, sets, p.threshold)).unionByName(twins)
+    # buckets that still hold several groups besides the pivot's own comparisons
+    mixed = named.groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("h")
+    split = checkpointed(named.where("size > 2 and v != p").join(mixed, "h", "left_semi").select("h", "v", "n", "root", "size"))
+    few = split.where(F.col("size") <= p.crowd)
+    other = few.select("h", F.col("v").alias("b"), F.col("n").alias("m"), F.col("root").alias("root2"))
+    rest = few.join(other, "h").where("v < b and root != root2").where(fits).select(F.col("v").alias("a"), "b")
+    crowd = checkpointed(split.where(F.col("size") > p.crowd).select("v").distinct())
+    if not crowd.isEmpty():
+        rest = rest.unionByName(crowd_pairs(sets.join(sized(crowd), "v", "left_semi"), p))
+    links = first.unionByName(_linked(rest.distinct(), sets, p.threshold)).unionByName(twins)
     final = components(links)
-    return final.select(F.col("a.doc_id").alias("doc_id"), F.col("a.th").alias("th"), F.col("b.doc_id").alias("kept_id"), F.col("b.th").alias("kept_th"))
+    # the number of a group's kept row is its smallest doc_id's
+    at = sigs.select("v", "doc_id", "th")
+    roots = checkpointed(final.select(F.col("a").alias("v"), "b").unionByName(final.select(F.col("b").alias("v"), "b").distinct()))
+    placed = checkpointed(at.join(sized(roots), "v"))
+    kept = placed.groupBy("b").agg(F.min(F.struct("doc_id", "th")).alias("k"))
+    return placed.join(kept, "b").where("doc_id != k.doc_id or th != k.th").select("doc_id", "th", F.col("k.doc_id").alias("kept_id"), F.col("k.th").alias("kept_th")).distinct()
 
 
 def near_copies(docs: DataFrame, p: NearParams = NearParams()) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from modalith.llm.components import components
 from modalith.llm.exact_dedup import drop_exact_copies, exact_copies, merged
-from modalith.llm.near_dedup import Circulant, NearParams, Shingler, drop_near_copies, near_copies
+from modalith.llm.near_dedup import Circulant, NearParams, Shingler, crowd_pairs, drop_near_copies, near_copies
 from tests.llm.odd import ROWS, SCHEMA, no_documents, odd_documents
 
 
@@ -154,3 +154,62 @@ def test_group_that_is_one_star_costs_no_square(spark):
     base = " ".join(f"w{i}" for i in range(100))
     docs = spark.range(400).select(F.col("id").alias("doc_id"), F.concat(F.lit(base + " x"), F.col("id")).alias("text"))
     assert near_copies(docs).where("kept_id = 0").count() == 399
+
+
+def joined(pairs):
+    """The groups of the pairs, as a set of sets."""
+    head = {}
+
+    def root(x):
+        while head.setdefault(x, x) != x:
+            x = head[x]
+        return x
+
+    for a, b in pairs:
+        head[root(a)] = root(b)
+    out = {}
+    for x in list(head):
+        out.setdefault(root(x), set()).add(x)
+    return {frozenset(g) for g in out.values()}
+
+
+@pytest.mark.parametrize("hot,crowd", [(40, 3), (12, 8), (200, 64)])
+def test_crowd_pairs_join_what_all_pairs_join(spark, hot, crowd):
+    rng, p = random.Random(hot), NearParams(crowd=crowd)
+    sets = []
+    for _ in range(25):  # selections of hot n-grams, each with some of its own
+        some = rng.sample(range(hot), rng.randrange(4, min(hot, 40)))
+        sets += [{*some, *rng.sample(range(1000, 100_000), rng.randrange(0, 14))} for _ in range(rng.randrange(1, 8))]
+    for _ in range(30):
+        own = rng.sample(range(1000, 100_000), 12)
+        sets += [{*rng.sample(range(hot), 4), *own[: rng.randrange(5, 12)]} for _ in range(2)]
+    link = lambda a, b: len(sets[a] & sets[b]) >= p.threshold * len(sets[a] | sets[b])
+    want = {(a, b) for a, b in itertools.combinations(range(len(sets)), 2) if link(a, b)}
+    rows = spark.createDataFrame([(i, sorted(x)) for i, x in enumerate(sets)], "v long, set array<bigint>")
+    got = {tuple(sorted(r)) for r in crowd_pairs(rows, p).collect()}
+    assert joined({x for x in got if link(*x)}) == joined(want) and want
+    assert len(got) < len(sets) * (len(sets) - 1) / 2
+
+
+def test_a_bucket_of_many_groups_is_not_squared(spark):
+    rng, shared = random.Random(4), " ".join(f"b{i}" for i in range(60))
+    docs, groups = [], 0
+    for g in range(700):
+        own = [f"g{g}w{i}" for i in range(50)]
+        for _ in range(rng.choice([1, 2, 2, 3])):
+            docs.append((len(docs), f"{shared} {' '.join(mutated(rng, own, 1))}", "en", "s", 1))
+        groups += 1
+    df = spark.createDataFrame(docs, SCHEMA).repartition(4)
+    p = NearParams(crowd=16)
+    got = near_copies(df, p).collect()
+    base = lambda d: docs[d][1].split()[60:]
+    assert len(got) == len(docs) - groups
+    assert all({w.split("w")[0] for w in base(r["doc_id"]) if w[0] == "g"} == {w.split("w")[0] for w in base(r["kept_id"]) if w[0] == "g"} for r in got)
+    # whether a bucket is a crowd changes nothing
+    assert {tuple(r) for r in near_copies(df, NearParams(crowd=10_000)).collect()} == {tuple(r) for r in got}
+
+
+def test_repeated_rows_are_one_document(spark):
+    text = " ".join(f"w{i}" for i in range(40))
+    rows = [(1, text, "en", "s", 1)] * 300 + [(2, text + " more", "en", "s", 1)] * 300 + [(3, text, "en", "s", 1)]
+    assert sorted(map(tuple, near_copies(spark.createDataFrame(rows, SCHEMA).repartition(5)).collect())) == [(2, 1), (3, 1)]
