@@ -1,9 +1,10 @@
 """Exact dedup: tree-merge of sorted digest runs.
 
 Every partition makes a run: its texts' digests in order, each with the smallest identifier that has it. Runs then merge in rounds, as
-in a binomial reduction with ``fan_in`` children a node: in each round the runs whose numbers agree after division by ``fan_in`` meet
-in one task, which merges them in one pass and keeps the smallest identifier of each digest. Digests are split into lanes by their
-first bits, and each lane has a tree of its own, so the last round is as parallel as the first and no task sees more than its lane.
+in a binomial reduction with ``fan_in`` children a node: in each round the runs whose numbers agree after division by ``fan_in`` meet,
+and are merged in one pass that keeps the smallest identifier of each digest. Where the merged run would be too long for one task, the
+runs are cut into lanes of digests by their first bits, and each lane is a task of its own. Lanes thus double as runs become fewer: at
+every level a task has about as many entries, and there are about as many tasks.
 
 A run is ordered by an 8-byte digest. Two entries that agree in it are the same text only if SHA-256 and byte length agree as well;
 this is verified at every level, and entries that differ there are both retained.
@@ -15,16 +16,18 @@ import heapq
 from collections.abc import Iterator
 from itertools import groupby
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from modalith.llm.common import checkpointed, col, fresh, sized
 
 #: An entry of a run.
-ENTRY = "lane int, run long, digest long, sha binary, bytes long, id long, rows long, id_rows long"
-_SCHEMA = pa.schema([("lane", pa.int32()), ("run", pa.int64()), ("digest", pa.int64()), ("sha", pa.binary()), ("bytes", pa.int64()), ("id", pa.int64()), ("rows", pa.int64()), ("id_rows", pa.int64())])
-#: Entries that a lane should have at most in its root.
+ENTRY = "run long, digest long, sha binary, bytes long, id long, rows long, id_rows long"
+_SCHEMA = pa.schema([("run", pa.int64()), ("digest", pa.int64()), ("sha", pa.binary()), ("bytes", pa.int64()), ("id", pa.int64()), ("rows", pa.int64()), ("id_rows", pa.int64())])
+#: Entries that a task should merge at most.
 LANE_ROWS = 200_000
 
 
@@ -41,48 +44,68 @@ def merged(runs: list[Iterator[tuple]]) -> Iterator[tuple]:
         yield (*key, best, rows, best_rows)
 
 
-def _table(lane: int, run: int, entries: list[tuple]) -> pa.Table:
-    cols = list(zip(*entries)) or [()] * 6
-    n = len(entries)
-    return pa.table([pa.array([lane] * n, pa.int32()), pa.array([run] * n, pa.int64()), *(pa.array(c, f.type) for c, f in zip(cols, list(_SCHEMA)[2:]))], schema=_SCHEMA)
-
-
 def digest_columns(text: str) -> list:
     t = col(text)
     return [F.xxhash64(t).alias("digest"), F.unhex(F.sha2(t, 256)).alias("sha"), F.octet_length(t).cast("long").alias("bytes")]
 
 
-def digest_runs(docs: DataFrame, lanes: int) -> DataFrame:
-    """A sorted run for each partition and lane. Rows with a null text take no part."""
-    hashed = docs.where(col("text").isNotNull()).select(col("doc_id").cast("long").alias("id"), *digest_columns("text"), F.spark_partition_id().alias("part"))
+def digest_runs(docs: DataFrame) -> DataFrame:
+    """A sorted run for each partition. Rows with a null text take no part. The JVM sorts, and spills if it must; repeats are then
+    neighbours and fall together batch by batch."""
+    hashed = docs.where(col("text").isNotNull()).select(F.spark_partition_id().cast("long").alias("run"), *digest_columns("text"), col("doc_id").cast("long").alias("id"))
+    ordered = hashed.sortWithinPartitions("digest", "sha", "bytes", F.col("id").asc_nulls_last())
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mine: dict[int, list] = {}
-        run = 0
-        for b in batches:
-            for i, d, s, n, part in zip(*(b.column(k).to_pylist() for k in range(5))):
-                run = part
-                mine.setdefault((d & 0xFFFFFFFFFFFFFFFF) % lanes, []).append((d, s, n, i, 1, 1))
-        for lane, entries in sorted(mine.items()):
-            entries.sort(key=lambda e: (e[:3], e[3] is None, e[3]))
-            yield from _table(lane, run, list(merged([iter(entries)]))).to_batches()
-
-    return hashed.mapInArrow(make, ENTRY)
-
-
-def merge_round(runs: DataFrame, fan_in: int) -> DataFrame:
-    """The runs of the next level: one for every fan_in of these."""
+        held: pa.RecordBatch | None = None
+        for batch in batches:
+            if not len(batch):
+                continue
+            ones = pa.array(np.ones(len(batch), np.int64))
+            whole = _collapsed(pa.RecordBatch.from_arrays([*batch.columns, ones, ones], schema=_SCHEMA), held)
+            # the last entry may go on in the next batch
+            held = whole.slice(len(whole) - 1)
+            yield whole.slice(0, len(whole) - 1)
+        if held is not None:
+            yield held
+
+    return ordered.mapInArrow(make, ENTRY)
+
+
+def _collapsed(entries: pa.RecordBatch, before: pa.RecordBatch | None = None) -> pa.RecordBatch:
+    """One entry for every (digest, sha, bytes) of entries in order of these and of id; before: an entry that comes first."""
+    if before is not None:
+        entries = pa.Table.from_batches([before, entries]).combine_chunks().to_batches()[0]
+    new = np.ones(len(entries), bool)
+    for name in ("digest", "sha", "bytes"):
+        c = entries[name]
+        differs = pc.not_equal(c.slice(1), c.slice(0, len(c) - 1)).to_numpy(zero_copy_only=False)
+        new[1:] = differs if name == "digest" else new[1:] | differs
+    starts = np.flatnonzero(new)
+    if len(starts) == len(entries):
+        return entries
+    ids, none = entries["id"].fill_null(0).to_numpy(), entries["id"].is_null().to_numpy(zero_copy_only=False)
+    first = np.repeat(starts, np.diff(np.append(starts, len(entries))))
+    own = (ids == ids[first]) & (none == none[first])
+    rows = np.add.reduceat(entries["rows"].to_numpy(), starts)
+    id_rows = np.add.reduceat(np.where(own, entries["id_rows"].to_numpy(), 0), starts)
+    kept = entries.take(pa.array(starts))
+    return pa.RecordBatch.from_arrays([*kept.columns[:5], pa.array(rows), pa.array(id_rows)], schema=_SCHEMA)
+
+
+def merge_round(runs: DataFrame, fan_in: int, bits: int = 0) -> DataFrame:
+    """The runs of the next level: one for every fan_in of these, merged in 2^bits lanes."""
 
     def merge(table: pa.Table) -> pa.Table:
         by_run: dict[int, list] = {}
-        lane, parent = table["lane"][0].as_py(), table["parent"][0].as_py()
         for run, *e in zip(*(table[c].to_pylist() for c in ("run", "digest", "sha", "bytes", "id", "rows", "id_rows"))):
             by_run.setdefault(run, []).append(tuple(e))
         for entries in by_run.values():
             entries.sort(key=lambda e: e[:3])  # a run that was cut in transit comes in ordered pieces, which this joins in linear time
-        return _table(lane, parent, list(merged([iter(e) for e in by_run.values()])))
+        done = list(zip(*merged([iter(e) for e in by_run.values()])))
+        return pa.table([pa.array([table["parent"][0].as_py()] * len(done[0]), pa.int64()), *(pa.array(c, f.type) for c, f in zip(done, list(_SCHEMA)[1:]))], schema=_SCHEMA)
 
-    up = runs.withColumn("parent", F.floor(F.col("run") / fan_in).cast("long"))
+    lane = F.shiftrightunsigned("digest", 64 - bits) if bits else F.lit(0).cast("long")
+    up = runs.withColumns({"parent": F.floor(F.col("run") / fan_in).cast("long"), "lane": lane})
     return up.groupBy("lane", "parent").applyInArrow(merge, ENTRY)
 
 
@@ -90,16 +113,18 @@ def digest_roots(docs: DataFrame, fan_in: int = 16, lane_rows: int = LANE_ROWS)
     """One entry for every distinct text: the roots of all lanes."""
     if fan_in < 2:
         raise ValueError("fan_in must be 2 or more")
-    # the count reads no column; lanes then follow the input
-    lanes = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-docs.count() // lane_rows))
     # the number of runs is read from the runs: another plan over docs, as a count of partitions is, may be cut otherwise
-    runs = checkpointed(digest_runs(docs, lanes))
-    left = (runs.agg(F.max("run")).first()[0] or 0) + 1
+    runs = checkpointed(digest_runs(docs))
+    facts = runs.agg(F.max("run").alias("run"), F.count("*").alias("n")).first()
+    left, tasks = (facts["run"] or 0) + 1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rounds = 0
     while left > 1:
         if rounds and rounds % 3 == 0:
             runs = checkpointed(runs)
-        runs, rounds, left = merge_round(runs, fan_in), rounds + 1, -(-left // fan_in)
+        left = -(-left // fan_in)
+        # enough lanes for the entries of a merged run, and for all tasks to have work
+        bits = max(0, max(-(-facts["n"] // lane_rows), tasks) - 1) // left
+        runs, rounds = merge_round(runs, fan_in, bits.bit_length()), rounds + 1
     return runs
 
 

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from modalith.llm.components import components
-from modalith.llm.exact_dedup import drop_exact_copies, exact_copies, merged
+from modalith.llm.exact_dedup import digest_roots, digest_runs, drop_exact_copies, exact_copies, merged
 from modalith.llm.near_dedup import Circulant, NearParams, Shingler, crowd_pairs, drop_near_copies, near_copies
 from tests.llm.odd import ROWS, SCHEMA, no_documents, odd_documents
 
@@ -50,6 +50,26 @@ def test_exact_copies_of_a_coalesced_join(spark):
     assert got == brute_copies(rows)
 
 
+def test_lanes_follow_the_entries_of_a_run(spark):
+    rows = [(i, f"text {i % 700}", "en", "s", 1) for i in range(1500)]
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(9)
+    for lane_rows in (1, 50, 10**6):
+        got = digest_roots(docs, 2, lane_rows).collect()
+        assert len(got) == len({r["sha"] for r in got}) == 700 and {r["rows"] for r in got} == {2, 3} and {r["id"] for r in got} == set(range(700))
+
+
+def test_runs_collapse_over_batches(spark):
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    rows = [(d, t) for t in ("a", "b", None, "c") for d in (None, 5, 3, 3, 9) for _ in range(7)]
+    try:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+        got = {r["bytes"]: tuple(r)[4:] for r in digest_runs(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect()}
+        n = digest_runs(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).count()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert got == {1: (3, 35, 14)} and n == 3
+
+
 def test_merge_keeps_apart_what_shares_a_short_digest():
     a, b = (5, b"x", 3, 7, 1, 1), (5, b"y", 3, 2, 1, 1)
     assert list(merged([iter([a]), iter([b]), iter([a])])) == [(5, b"x", 3, 7, 2, 2), b]
