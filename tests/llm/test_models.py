@@ -1,10 +1,11 @@
+import math
 import random
 
 import pytest
 
 from modalith.llm import bpe, quality
 from modalith.llm.bpe import PATTERN, VOCABULARY, Decoder, Encoder, Transducer, decode_documents, encode_documents, load_ranks, odd_characters
-from modalith.llm.quality import QualityParams, features, keep_good, quality_scores
+from modalith.llm.quality import QualityParams, features, keep_good, labelled_sample, quality_scores, train
 from tests.llm.odd import SCHEMA, no_documents, odd_documents
 
 LABELS = "doc_id long, quality int, toxic int"
@@ -68,6 +69,35 @@ def test_held_out_accuracy(spark):
     assert sum(right) / len(right) > 0.95
 
 
+def test_labels_of_other_documents_take_no_place_in_the_sample(spark):
+    docs = spark.createDataFrame([(i, f"text {i}", "en", "s", 1) for i in range(60)] + [(3, "text 3 again", "en", "s", 1)], SCHEMA)
+    labels = spark.range(4000).selectExpr("id as doc_id", "1 as quality", "0 as toxic")
+    texts, classes = labelled_sample(docs, labels, QualityParams(train_rows=100))
+    assert len(texts) == len(classes) == 61 and set(texts) == {r["text"] for r in docs.collect()}
+    some, _ = labelled_sample(docs, labels, QualityParams(train_rows=10))
+    assert len(some) == 10 and set(some) <= set(texts)
+
+
+def brute_probability(text, shares, bias, p):
+    """Of good: the average of the features' class scores, plus the biases, through softmax."""
+    f = features(text, p).tolist()
+    z = [sum(float(shares[i][k]) for i in f) / max(1, len(f)) + float(bias[k]) for k in range(3)]
+    e = [math.exp(x - max(z)) for x in z]
+    return e[1] / sum(e)
+
+
+def test_scores_match_brute_force(spark):
+    rng = random.Random(2)
+    docs, labels = sample(rng, 300)
+    df, p = spark.createDataFrame(docs, SCHEMA), FAST
+    labels = spark.createDataFrame(labels, LABELS)
+    shares, bias = train(*labelled_sample(df, labels, p), p)
+    got = {r["doc_id"]: (r["p_good"], r["keep"]) for r in quality_scores(df, labels, p).collect()}
+    for d, t, *_ in docs:
+        want = brute_probability(t, shares, bias, p)
+        assert abs(got[d][0] - want) < 1e-4 and (got[d][1] == (want >= p.keep_from) or abs(want - p.keep_from) < 1e-4)
+
+
 def test_quality_on_odd_rows(spark):
     docs = odd_documents(spark, clash=True)
     labels = spark.createDataFrame([(1, 1, 0), (1, 1, 0), (3, 0, 0), (4, 0, 1), (6, 1, None), (7, 0, 0), (None, 1, 1), (5, None, 1), (99, 1, 0)], LABELS)
