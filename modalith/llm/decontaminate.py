@@ -1,7 +1,8 @@
 """Benchmark decontamination: pigeonhole edit matching.
 
-Text is lowered and every run of other characters than letters, digits and underscores becomes a space. A test item of m characters
-may occur with up to k = floor(error_rate x m) edits. Cut into k + 1 pieces, one of them then occurs unchanged: an Aho-Corasick
+Text is lowered and every run of other characters than letters, digits and underscores becomes a space. Text and item then get a space
+at either end, so that an item begins and ends with a word: an item that must occur unchanged occurs in whole words only. A test item
+of m characters may occur with up to k = floor(error_rate x m) edits. Cut into k + 1 pieces, one of them then occurs unchanged: an Aho-Corasick
 automaton finds all pieces in one pass over a document, and the stretch around each hit is verified by Myers' bit-parallel edit
 distance.
 
@@ -29,11 +30,13 @@ _GAP = re.compile(r"\W+")
 
 @dataclass(frozen=True)
 class LeakParams:
-    """Items shorter than min_chars must occur unchanged. batch_chars: of the items that one automaton holds; more items than that
-    are matched in several passes, so what a task receives stays bounded."""
+    """Items shorter than min_chars, after normalisation, must occur unchanged; those shorter than least_chars, such as a bare "yes",
+    prove nothing and are left out. batch_chars: of the items that one automaton holds; more items than that are matched in several
+    passes, so what a task receives stays bounded."""
 
     error_rate: float = 0.1
     min_chars: int = 20
+    least_chars: int = 8
     batch_chars: int = 8_000_000
 
 
@@ -75,16 +78,17 @@ def _pairs(s: str) -> Counter:
 
 
 class Matcher:
-    def __init__(self, items: list[tuple[str, str]], p: LeakParams) -> None:
+    def __init__(self, items: list[tuple[str | None, str]], p: LeakParams) -> None:
         """items: (name, text)."""
         self.items = []
         pieces: dict[str, list[tuple[int, int, tuple | None]]] = {}
         for name, text in items:
             t = normalised(text)
-            if not t:
+            if len(t) < max(1, p.least_chars):
                 continue
-            m, k = len(t), int(p.error_rate * len(t)) if len(t) >= p.min_chars else 0
-            at = len(self.items)
+            k = int(p.error_rate * len(t)) if len(t) >= p.min_chars else 0
+            t = f" {t} "
+            m, at = len(t), len(self.items)
             self.items.append((name, t, k, _pairs(t)))
             cuts = [i * m // (k + 1) for i in range(k + 2)]
             for i, (a, b) in enumerate(zip(cuts, cuts[1:])):
@@ -107,11 +111,11 @@ class Matcher:
         near, far = ((a, mid), (mid, b)) if i % 2 == 0 else ((mid, b), (a, mid))
         return t[slice(*near)], near[0] - end, t[slice(*far)], far[0] - end - 1, far[1] - end + 1
 
-    def leaks(self, text: str | None) -> list[tuple[str, int, int]]:
+    def leaks(self, text: str | None) -> list[tuple[str | None, int, int]]:
         """(name, edits, length) of every item that the text holds."""
         if not text or not self.some:
             return []
-        t = normalised(text)
+        t = f" {normalised(text)} "
         spots: dict[int, list[tuple[int, int]]] = {}
         for end, where in self.automaton.iter(t):
             for item, b, beside in where:
@@ -140,21 +144,21 @@ class Matcher:
                 if k and sum((pairs - _pairs(stretch)).values()) <= 2 * k:
                     best = min(best, edits(s, stretch))
             if best <= k:
-                out.append((name, best, len(s)))
+                out.append((name, best, len(s) - 2))
         return out
 
 
-def _batches(benchmark: DataFrame, p: LeakParams) -> Iterator[list[tuple[str, str]]]:
+def _batches(benchmark: DataFrame, p: LeakParams) -> Iterator[list[tuple[str | None, str]]]:
     """The items, in lists of about batch_chars each."""
     items = benchmark.where(F.col("text").isNotNull()).select(F.col("item_id").cast("string").alias("item"), "text")
     n = 1 + (items.agg(F.sum(F.length("text"))).first()[0] or 0) // p.batch_chars
     for i in range(n):
         rows = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == i).distinct().collect()
         if rows:
-            yield sorted((str(r["item"]), r["text"]) for r in rows)
+            yield sorted(((r["item"], r["text"]) for r in rows), key=lambda x: (x[0] is None, x[0] or "", x[1]))
 
 
-def _matcher(batch: list[tuple[str, str]], p: LeakParams) -> Callable:
+def _matcher(batch: list[tuple[str | None, str]], p: LeakParams) -> Callable:
     def make() -> Callable:
         matcher = Matcher(batch, p)
         return lambda texts: ([[{"item": a, "edits": b, "chars": c} for a, b, c in matcher.leaks(t)] for t in texts],)
@@ -167,9 +171,10 @@ _HITS = "array<struct<item:string,edits:int,chars:int>>"
 
 def benchmark_leaks(docs: DataFrame, benchmark: DataFrame, p: LeakParams = LeakParams()) -> DataFrame:
     """(doc_id, item, similarity) for every document and item that it holds: similarity is 1 - edits / characters, after
-    normalisation. item is item_id as a string ("None" for a null one).
+    normalisation. item is item_id as a string, null for a null one. doc_id is read as a long; one that is none is an error under ANSI
+    and null otherwise.
 
-    Null texts, null items and items without letters or digits match nothing. Repeated rows of docs give repeated rows; repeated
+    Null texts, null items and items of fewer than least_chars characters match nothing. Repeated rows of docs give repeated rows; repeated
     items one. Empty tables give no rows; other columns play no part.
     """
     out = docs.sparkSession.createDataFrame([], "doc_id long, item string, similarity double")

@@ -130,7 +130,7 @@ def leak_cases():
     word = lambda: "".join(rng.choices("abcdefghij", k=rng.randrange(1, 8)))
     items = [(i, " ".join(word() for _ in range(rng.choice([1, 3, 12, 30])))) for i in range(40)]
     docs = []
-    for d in range(200):
+    for d in range(360):
         x = list(items[rng.randrange(40)][1])
         for _ in range(rng.randrange(int(0.1 * len(x)) + 4)):
             if x:
@@ -146,11 +146,19 @@ def brute_leaks(items, docs, p):
         s = normalised(t or "")
         k = int(p.error_rate * len(s)) if len(s) >= p.min_chars else 0
         for d, text, *_ in docs:
-            if s and text is not None and (e := brute_edits(s, normalised(text))) <= k:
+            if len(s) >= p.least_chars and text is not None and (e := brute_edits(f" {s} ", f" {normalised(text)} ")) <= k:
                 out.add((d, str(i), round(1 - e / len(s), 6)))
     return out
 
 
+def test_short_items_prove_nothing_and_words_are_whole():
+    m = Matcher([("a", "a"), ("y", "yes"), ("x", "the answer"), ("n", "banana")], LeakParams())
+    assert m.leaks("banana and eyesight, yes: a") == [] and m.leaks("breathe answers") == []
+    assert m.leaks("What is THE answer?") == [("x", 0, 10)]
+    m = Matcher([("y", "yes"), (None, "no")], LeakParams(least_chars=0))
+    assert m.leaks("eyesight, another") == [] and m.leaks("Yes, no.") == [("y", 0, 3), (None, 0, 2)]
+
+
 @pytest.mark.parametrize("batch", [300, 8_000_000])
 def test_leaks_match_brute_force(spark, batch):
     items, docs = leak_cases()
@@ -174,14 +182,14 @@ def test_paired_pieces_lose_nothing():
             i, op = rng.randrange(len(x)), rng.randrange(3)
             x[i : i + 1] = [[], [rng.choice("abcde")], [x[i], rng.choice("abcde")]][op]
         t = normalised("zz " + "".join(x) + " zz")
-        e = brute_edits(s, t)
+        e = brute_edits(f" {s} ", f" {t} ")
         assert m.leaks(t) == ([("x", e, len(s))] if e <= k else [])
 
 
 def test_leaks_on_odd_rows(spark):
     docs = odd_documents(spark, clash=True)
-    bench = spark.createDataFrame([(1, "One two three four FIVE six sevn"), (1, "One two three four FIVE six sevn"), (None, "word0 word1"), (3, None), (4, ""), (5, "!!!")], "item_id long, text string")
-    got = sorted((str(r["doc_id"]), r["item"]) for r in benchmark_leaks(docs, bench).collect())
+    bench = spark.createDataFrame([(1, "One two three four FIVE six sevn"), (1, "One two three four FIVE six sevn"), (None, "word0 word1"), (2, "o"), (3, None), (4, ""), (5, "!!!")], "item_id long, text string")
+    got = sorted((str(r["doc_id"]), str(r["item"])) for r in benchmark_leaks(docs, bench).collect())
     assert got == sorted([("1", "1"), ("1", "1"), ("2", "1"), ("None", "1"), ("6", "None"), ("6", "None")])
     left = drop_leaks(docs, bench)
     assert left.columns == docs.columns and left.count() == docs.count() - 6
