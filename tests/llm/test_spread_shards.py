@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
@@ -97,3 +98,49 @@ def test_shuffle_on_odd_rows(spark):
     assert shuffled(no_documents(spark)).count() == 0
     maps = spark.createDataFrame([({"a": 1}, 1), (None, 2)], "m map<string,int>, n int")
     assert shuffled(maps).count() == 2
+
+
+def brute_shuffle(rows, p, shards, of):
+    """The order of each shard's rows: by hash, then Fisher and Yates, swap by swap."""
+    out = {}
+    for row, key in rows:
+        out.setdefault(of[row], []).append((key, row))
+    done = {}
+    for shard, mine in out.items():
+        mine.sort()
+        rng = np.random.default_rng([p.seed, shard])
+        swaps = rng.integers(0, np.arange(len(mine), 0, -1))
+        for i, j in zip(range(len(mine) - 1, 0, -1), swaps):
+            mine[i], mine[j] = mine[j], mine[i]
+        done[shard] = [r for _, r in mine]
+    return done
+
+
+@pytest.mark.parametrize("tasks", [16_384, 3])
+def test_shuffle_matches_brute_force(spark, tasks):
+    p = ShardParams(bucket_bytes=3000, tasks=tasks)
+    docs = spark.range(800).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), "id").alias("text"))
+    got = shuffled(docs.repartition(5), p)
+    keys = [(r[0], r[1]) for r in docs.select("doc_id", F.xxhash64("doc_id", "text", F.lit(p.seed))).collect()]
+    size = docs.agg(F.sum(F.length("text") + 16)).first()[0]
+    shards = -(-size // p.bucket_bytes)
+    of = {r[0]: r[1] for r in docs.select("doc_id", F.pmod(F.xxhash64(F.xxhash64("doc_id", "text", F.lit(p.seed)), F.lit(p.seed + 1)), F.lit(shards))).collect()}
+    have = {}
+    for r in sorted(got.collect(), key=lambda r: (r["shard"], r["position"])):
+        have.setdefault(r["shard"], []).append(r["doc_id"])
+    assert have == brute_shuffle(keys, p, shards, of) and len(have) > 5
+    assert got.rdd.getNumPartitions() <= max(tasks, 3) and (tasks > 3 or got.rdd.getNumPartitions() == 3)
+
+
+def test_repeated_rows_are_spread(spark):
+    docs = spark.range(2000).select(F.lit(1).alias("doc_id"), F.repeat(F.lit("x"), 1000).alias("text")).union(spark.range(500).select(F.col("id").cast("int"), F.lit("y")))
+    got = shuffled(docs.repartition(6), ShardParams(bucket_bytes=100_000)).groupBy("shard").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("b"), F.max("position").alias("m")).collect()
+    assert sum(r["n"] for r in got) == 2500 and len(got) == 21 and max(r["b"] for r in got) < 160_000
+    assert all(r["m"] == r["n"] - 1 for r in got)
+
+
+def test_nested_columns_count(spark):
+    docs = spark.range(300).select("id", F.transform(F.sequence(F.lit(1), F.lit(1000)), lambda x: x.cast("int")).alias("tokens"))
+    assert shuffled(docs, ShardParams(bucket_bytes=100_000)).select("shard").distinct().count() == 13  # 300 rows of 4000 + 8 bytes
+    deep = spark.range(100).select("id", F.struct(F.array(F.repeat(F.lit("z"), 2000)).alias("a"), F.create_map(F.lit("k"), F.repeat(F.lit("z"), 2000)).alias("m")).alias("s"), F.lit(None).cast("array<string>").alias("none"))
+    assert shuffled(deep, ShardParams(bucket_bytes=40_000)).select("shard").distinct().count() >= 10
