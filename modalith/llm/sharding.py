@@ -42,17 +42,24 @@ def fisher_yates(n: int, seed: int | list[int]) -> np.ndarray:
     return np.array(order, np.int64)
 
 
+def _hashable(t: T.DataType) -> bool:
+    """Whether no map or variant is in it; Spark has no hash of these."""
+    if isinstance(t, T.StructType):
+        return all(_hashable(f.dataType) for f in t)
+    return _hashable(t.elementType) if isinstance(t, T.ArrayType) else not isinstance(t, T.MapType | T.VariantType)
+
+
 def shuffled(docs: DataFrame, p: ShardParams = ShardParams()) -> DataFrame:
     """docs with shard (int) and position (long), its place in the shard; columns of these names in docs are replaced.
 
     Every row is there as often as in docs, whatever its nulls and texts. The number of shards follows the bytes, of arrays and structs
-    too. Rows that are equal in every column are interchangeable. An empty table gives an empty table. Columns of type map and variant
-    take no part in the hash. A single row larger than a bucket is a bucket by itself or with others.
+    too. Rows that are equal in every column are interchangeable. An empty table gives an empty table. Columns with maps or variants in
+    them take no part in the hash. A single row larger than a bucket is a bucket by itself or with others.
     """
     docs = docs.drop("shard", "position")
     names = docs.columns
     plain = docs.toDF(*(f"c{i}" for i in range(len(names))))  # a grouped map can't take names with dots
-    hashed = [F.col(f.name) for f in plain.schema if not isinstance(f.dataType, T.MapType | T.VariantType)] or [F.lit(0)]
+    hashed = [F.col(f.name) for f in plain.schema if _hashable(f.dataType)] or [F.lit(0)]
     keyed = plain.withColumn("key", F.xxhash64(*hashed, F.lit(p.seed)))
     each = plain.select(F.xxhash64(*hashed, F.lit(p.seed)).alias("key"), row_bytes(plain).alias("b")).groupBy("key").agg(F.count("*").alias("n"), F.sum("b").alias("b"))
     # a row for each hot key and one for all others
