@@ -14,7 +14,7 @@ from modalith.llm.line_spread import drop_boilerplate
 from modalith.llm.near_dedup import near_copies
 from modalith.llm.quality import quality_scores
 from modalith.llm.sharding import shuffled
-from modalith.llm.surrogates import pseudonymised
+from modalith.llm.surrogates import SurrogateParams, pseudonymised
 from modalith.llm.url_filter import DEFAULT_RULES, default_rules, page_verdicts
 from modalith.llm.warc import derivatives
 
@@ -45,7 +45,9 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pseudonymised(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    """The key is the session's; without one that of this query, which protects nothing."""
+    key = spark.conf.get("modalith.surrogates.key", "a key for trying out").encode()
+    return pseudonymised(table(spark, sf_dir, "documents").select("doc_id", "text"), SurrogateParams(key))
 
 
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

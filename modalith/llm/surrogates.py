@@ -1,6 +1,6 @@
 """Personal data becomes surrogates.
 
-Found are e-mail and IPv4 addresses, telephone and card numbers, social security numbers, IBANs, secrets behind a keyword, and names:
+Found are e-mail and IPv4 addresses, telephone and card numbers (a plain run of digits only with a right check digit), social security numbers, IBANs, secrets behind a keyword, and names:
 a known first name or a title before a surname, and that surname wherever else in the text it stands.
 
 An entity's surrogate depends on a key, its kind and its canonical form alone, so one entity has one surrogate in all documents and
@@ -58,9 +58,15 @@ _CLASS = {c: k for k, a in enumerate(ALPHABETS) for c in a}
 
 @dataclass(frozen=True)
 class SurrogateParams:
-    """key: secret; with another key all surrogates are others."""
+    """key: secret, at least 8 bytes; with another key all surrogates are others. rounds: of drawing again, at most; more are needed only
+    if nearly all values of a shape are in the corpus, and then there is an error."""
 
-    key: bytes = b"change me"
+    key: bytes
+    rounds: int = 50
+
+    def __post_init__(self) -> None:
+        if len(self.key) < 8:
+            raise ValueError("a key has 8 bytes or more")
 
 
 def luhn(digits: str) -> int:
@@ -194,7 +200,10 @@ def find(text: str) -> list[tuple[int, int, str, str]]:
         elif kind == "phone":
             spans.append((*m.span(), "phone", _national(s)))
         else:
-            spans.append((*m.span(), kind, re.sub(r"\D", "", s)))
+            digits = re.sub(r"\D", "", s)
+            # a plain run of digits may be a clock or an identifier; that of a card has its check digit
+            if kind != "card" or digits != s or int(s[-1]) == luhn(s[:-1]):
+                spans.append((*m.span(), kind, digits))
     spans += _names(text)
     spans.sort(key=lambda x: (x[0], -x[1]))
     out: list[tuple[int, int, str, str]] = []
@@ -295,7 +304,7 @@ def corpus_entities(docs: DataFrame) -> DataFrame:
     return checkpointed(rows.select("th", "e.kind", "e.value").distinct())
 
 
-def redrawn(entities: DataFrame, p: SurrogateParams = SurrogateParams()) -> DataFrame:
+def redrawn(entities: DataFrame, p: SurrogateParams) -> DataFrame:
     """(kind, value, attempt) of the entities (kind, value, each once) that don't keep their first surrogate; checkpointed. The check
     covers all of them in every round, and each surrogate's holder is the entity that has been drawn least, then the least value."""
 
@@ -306,7 +315,7 @@ def redrawn(entities: DataFrame, p: SurrogateParams = SurrogateParams()) -> Data
             yield pd.Series([make.of(k, v, int(a)) for k, v, a in zip(kinds, values, attempts)], dtype=object)
 
     now = entities.select("kind", "value", F.lit(0).alias("attempt"))
-    while True:
+    for _ in range(p.rounds):
         made = now.withColumn("surrogate", drawn("kind", "value", "attempt"))
         taken = entities.select("kind", F.col("value").alias("surrogate"), F.lit(True).alias("taken"))
         # one shuffle by (kind, surrogate) finds both sorts of collision
@@ -318,9 +327,10 @@ def redrawn(entities: DataFrame, p: SurrogateParams = SurrogateParams()) -> Data
         hit = made.join(sized(trouble), ["kind", "surrogate"], "left")
         again = F.col("n").isNotNull() & (F.col("taken") | (F.col("value") != F.col("first.value")))
         now = checkpointed(hit.select("kind", "value", (F.col("attempt") + again.cast("int")).alias("attempt")))
+    raise ValueError(f"no free surrogates are left for some of {[r[0] for r in trouble.select('kind').distinct().limit(5).collect()]}")
 
 
-def pseudonymised(docs: DataFrame, p: SurrogateParams = SurrogateParams()) -> DataFrame:
+def pseudonymised(docs: DataFrame, p: SurrogateParams) -> DataFrame:
     """docs, text with surrogates for personal data, and n_replaced (int). A column of that name in docs is replaced.
 
     A null text stays null with none replaced, and an empty one empty. Repeated texts change alike. What is no entity stays, character

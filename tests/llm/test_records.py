@@ -7,10 +7,12 @@ from html.parser import HTMLParser
 import pytest
 from pyspark.sql import functions as F
 
-from modalith.llm.surrogates import SurrogateParams, Surrogates, find, luhn, pseudonymised, redrawn, replaced
+from modalith.llm.surrogates import SurrogateParams, Surrogates, find, luhn, pseudonymised, redrawn, render, replaced
 from modalith.llm.warc import derivatives, derived, digest, parsed, responses, warc_bytes, warc_records
 from tests.llm.odd import SCHEMA, no_documents, odd_documents
 
+P = SurrogateParams(b"a key for tests")
+
 
 def entities(text):
     return [(k, text[a:b]) for a, b, k, _ in find(text)]
@@ -25,6 +27,7 @@ def entities(text):
         ("+49 30 1234567, +4930123456789", [("phone", "+49 30 1234567"), ("phone", "+4930123456789")]),
         ("tel (743) 555-3824%%%", [("phone", "(743) 555-3824")]),
         ("card 4111 1111 1111 1111 or 4111111111111111", [("card", "4111 1111 1111 1111"), ("card", "4111111111111111")]),
+        ("at 1700000000123, no 4111111111111112 and 4111 1111 1111 1112", [("card", "4111 1111 1111 1112")]),
         ("host 10.0.0.1, 300.1.1.1, 1.2.3.4.5 and 2.0.", [("ip", "10.0.0.1")]),
         ("ssn 078-05-1120", [("ssn", "078-05-1120")]),
         ("DE89 3704 0044 0532 0130 00 and DE88 3704", [("iban", "DE89 3704 0044 0532 0130 00")]),
@@ -42,7 +45,7 @@ def test_what_is_found(text, want):
 
 def test_surrogates_keep_type_format_and_coreference():
     text = 'Ann.05@mail5.example.com ANN.05@MAIL5.EXAMPLE.COM +1 (743) 555-3824 743-555-3824 4111 1111 1111 1111 10.0.0.1 078-05-1120 DE89 3704 0044 0532 0130 00 token = "24be64439e3e49cf46b2" Mr. John Smith, Mary Jones, Smith. Ольга Иванова, Иван Иванов.'
-    new, n = replaced(text, Surrogates(SurrogateParams()), {})
+    new, n = replaced(text, Surrogates(P), {})
     assert n == len(find(text)) == 18
     before, after = entities(text), entities(new)
     assert [k for k, _ in before] == [k for k, _ in after] and not {v for _, v in before} & {v for _, v in after}
@@ -62,11 +65,11 @@ def test_surrogates_keep_type_format_and_coreference():
 
     assert values[9] in FIRST_NAMES["latin", "m"].split() and values[11] in FIRST_NAMES["latin", "f"].split()
     assert values[14] in FIRST_NAMES["cyrillic", "f"].split() and values[16] in FIRST_NAMES["cyrillic", "m"].split()
-    assert replaced(text, Surrogates(SurrogateParams(b"other")), {})[0] != new
+    assert replaced(text, Surrogates(SurrogateParams(b"other than that")), {})[0] != new
 
 
 def test_cipher_is_one_to_one():
-    s = Surrogates(SurrogateParams())
+    s = Surrogates(P)
     assert len({s.digits(f"{i:03d}") for i in range(1000)}) == 1000
     assert len({s.of("card", f"{i:013d}") for i in range(3000)}) == 3000
     assert len({s.of("ip", f"1.2.{i // 256}.{i % 256}") for i in range(3000)}) == 3000
@@ -76,8 +79,8 @@ def test_cipher_is_one_to_one():
 def test_collisions_are_drawn_again(spark):
     # three digits leave a thousand surrogates: many that are drawn are another's original
     rows = [("ssn", f"{i:03d}") for i in range(120)] + [("surname", f"name{i}") for i in range(30)]
-    got = {(r["kind"], r["value"]): r["attempt"] for r in redrawn(spark.createDataFrame(rows, "kind string, value string")).collect()}
-    make = Surrogates(SurrogateParams())
+    got = {(r["kind"], r["value"]): r["attempt"] for r in redrawn(spark.createDataFrame(rows, "kind string, value string"), P).collect()}
+    make = Surrogates(P)
     final = {(k, v): make.of(k, v, got.get((k, v), 0)) for k, v in rows}
     for kind in ("ssn", "surname"):
         values, new = {v for k, v in rows if k == kind}, [x for (k, _), x in final.items() if k == kind]
@@ -85,9 +88,49 @@ def test_collisions_are_drawn_again(spark):
     assert got
 
 
+def test_a_key_is_asked_for_and_a_full_space_is_an_error(spark):
+    with pytest.raises(TypeError):
+        SurrogateParams()
+    with pytest.raises(ValueError):
+        SurrogateParams(b"short")
+    every = spark.createDataFrame([("ssn", str(i)) for i in range(10)], "kind string, value string")
+    with pytest.raises(ValueError, match="no free surrogates"):
+        redrawn(every, SurrogateParams(b"a key for tests", rounds=3))
+
+
+def brute_replaced(rows, redo):
+    """The corpus rewritten entity by entity, each with the surrogate of its own last draw."""
+    make, out = Surrogates(P), []
+    for d, t in rows:
+        new, at, n = "", 0, 0
+        for a, b, kind, value in find(t):
+            s = make.first[value] if kind == "first" else make.of(kind, value, redo.get((kind, value), 0))
+            new, at, n = new + t[at:a] + render(kind, t[a:b], s), b, n + 1
+        out.append((d, new + t[at:], n))
+    return sorted(out)
+
+
+def test_corpus_matches_brute_force(spark):
+    rows = [(i, f"No {i % 40:03d}-45-{i % 7:04d}, Mr. {'Ab' if i % 2 else 'Cd'}{'xyz'[i % 3]}eson at 10.0.{i % 30}.{i % 9} or u{i}@a.com. Nothing else.") for i in range(150)]
+    values = {(k, v) for _, t in rows for *_, k, v in find(t) if k != "first"}
+    make, redo = Surrogates(P), {x: 0 for x in values}
+    while True:  # all collisions of a round are found before the next
+        now = {x: make.of(*x, redo[x]) for x in values}
+        holders = {}
+        for (k, v), s in now.items():
+            holders.setdefault((k, s), []).append((redo[k, v], v))
+        again = [(k, v) for (k, v), s in now.items() if (k, s) in values or min(holders[k, s])[1] != v]
+        if not again:
+            break
+        for x in again:
+            redo[x] += 1
+    got = pseudonymised(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), P).collect()
+    assert sorted(map(tuple, got)) == brute_replaced(rows, redo)
+
+
 def test_corpus_is_consistent(spark):
     docs = spark.createDataFrame([(i, f"mail u{i % 50}.x@a.com and {i % 40:03d}-45-6789", "en", "s", 1) for i in range(200)] + [(900, "nothing here", "en", "s", 1)], SCHEMA)
-    got = pseudonymised(docs.repartition(5)).join(docs.select("doc_id", F.col("text").alias("was")), "doc_id").collect()
+    got = pseudonymised(docs.repartition(5), P).join(docs.select("doc_id", F.col("text").alias("was")), "doc_id").collect()
     seen = {}
     for r in got:
         a, b = entities(r["was"]), entities(r["text"])
@@ -101,10 +144,10 @@ def test_corpus_is_consistent(spark):
 
 def test_surrogates_on_odd_rows(spark):
     docs = odd_documents(spark, clash=True)
-    got = pseudonymised(docs)
+    got = pseudonymised(docs, P)
     assert got.columns == [*(c for c in docs.columns if c != "n_replaced"), "n_replaced"]
     assert got.select("doc_id", "text").exceptAll(docs.select("doc_id", "text")).count() == 0 and got.where("n_replaced <> 0").count() == 0
-    assert pseudonymised(no_documents(spark)).count() == 0
+    assert pseudonymised(no_documents(spark), P).count() == 0
 
 
 class Plain(HTMLParser):
