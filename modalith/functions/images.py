@@ -65,6 +65,24 @@ def image_size(data: bytes) -> tuple[int, int, int]:
     raise BadImage("cannot identify image file")
 
 
+def check_whole(data: bytes) -> None:
+    """Raises BadImage if a JPEG, GIF, WebP or BMP ends before its own structure does."""
+    if data[:2] == b"\xff\xd8":
+        # padding may follow the end mark
+        if b"\xff\xda" not in data or data.rstrip(b"\0\n\r")[-2:] != b"\xff\xd9":
+            raise BadImage("JPEG is cut short")
+    elif data[:3] == b"GIF":
+        if data.rstrip(b"\0")[-1:] != b";":
+            raise BadImage("GIF is cut short")
+    elif data[:4] == b"RIFF":
+        if len(data) < int.from_bytes(data[4:8], "little") + 8:
+            raise BadImage("WebP is cut short")
+    elif data[:2] == b"BM":
+        w, h, c = image_size(data)
+        if len(data) < int.from_bytes(data[10:14], "little") + (w * c + 3) // 4 * 4 * h:
+            raise BadImage("BMP is cut short")
+
+
 def decode_png(data: bytes) -> np.ndarray:
     """height x width x channels, 8 bits a sample, palettes resolved; interlaced images are not read."""
     w, h, _ = png_size(data)

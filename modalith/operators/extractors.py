@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from modalith.functions import columns as X
-from modalith.functions.images import BadImage, decode, encode_png, image_size, perceptual_hash, rgb
+from modalith.functions.images import BadImage, check_whole, decode, encode_png, image_size, perceptual_hash, resize, rgb
 from modalith.operators.extract import Extractor
 
 #: name -> factory of a backend
@@ -40,6 +40,8 @@ class ImageInfo(Extractor):
             w, h, c = image_size(blob)
             if blob[:8] == b"\x89PNG\r\n\x1a\n":
                 h, w, c = decode(blob).shape
+            else:
+                check_whole(blob)
             return True, w, h, c, None
         except BadImage as e:
             return False, None, None, None, str(e)
@@ -329,11 +331,18 @@ class OpticalFlow(_Backed):
         super().__init__(backend)
         self.outputs, self.step, self.passes, self.min_side = f"{name} double", step, passes, min_side
 
+    def _small(self, frame: np.ndarray) -> np.ndarray:
+        """The frame with its shorter side at min_side, if it is longer."""
+        h, w = frame.shape[:2]
+        if min(h, w) <= self.min_side:
+            return frame
+        return resize(frame, max(1, w * self.min_side // min(h, w)), max(1, h * self.min_side // min(h, w)))
+
     def process(self, model: Any, batch: list) -> list[tuple]:
         out = []
         for data, _ in batch:
             at = range(self.step, min(self.passes * self.step + 1, model.frames(data["video"])), self.step)
-            frames = [model.read(data["video"], i) for i in at]
+            frames = [self._small(np.atleast_3d(model.read(data["video"], i))) for i in at]
             means = [float(np.linalg.norm(model.flow(a, b), axis=2).mean()) for a, b in zip(frames, frames[1:])]
             out.append((round(float(np.mean(means)), 3) if means else float("nan"),))
         return out

@@ -208,3 +208,33 @@ def test_video_commands():
     for bad in ({}, {"cut_start": "s"}, {"fps": 3, "cut_start": "s", "cut_duration": "d", "copy_stream": True}):
         with pytest.raises(ValueError):
             VideoTransform(**bad)
+
+
+def test_images_that_end_early_are_damaged():
+    from modalith.operators.extractors import ImageInfo
+
+    frame = b"\xff\xc0\x00\x11\x08\x00\x10\x00\x20\x03\x01\x22\x00\x02\x11\x01\x03\x11\x01"
+    jpeg = b"\xff\xd8" + frame + b"\xff\xda\x00\x0c\x03\x01\x00\x02\x11\x03\x11\x00\x3f\x00" + b"\x12\x34" * 20 + b"\xff\xd9"
+    gif = b"GIF89a\x04\x00\x03\x00\x00\x00\x00" + b"x" * 20 + b";"
+    facts = lambda blob: ImageInfo().prepare({"image": blob}, {})
+    assert facts(jpeg)[:4] == (True, 32, 16, 3) and facts(gif)[:3] == (True, 4, 3)
+    assert not facts(jpeg[:30])[0] and not facts(jpeg[:-2])[0] and not facts(gif[:-4])[0]
+
+
+@pytest.mark.parametrize(
+    "name,caption,want",
+    [
+        ("en", "An old barn, royalty free stock photo 12345 at https://x.com/a?b=1", "An old barn,"),
+        ("en", "Vase 10 x 20 cm (3) for sale", "Vase"),
+        ("en", "photo.jpg of a dog", "of a dog"),
+        ("en", "a man with a beard", "a man with a beard"),
+        ("ru", "Красивая собака, стоковое фото 123", "Красивая собака,"),
+        ("ru", "Ваза 10х20 см купить за 300 руб.", "Ваза"),
+        ("ru", "кошка спит на диване", "кошка спит на диване"),
+        ("special", "I'll stay - - - home #12 [tag] 10.0.0.1", "I would stay - home"),
+    ],
+)
+def test_captions_lose_what_is_no_caption(name, caption, want):
+    for p, r in captions.RULES[name]:
+        caption = captions.cut(caption, re.compile(p), r)
+    assert " ".join(caption.split()) == want
