@@ -18,8 +18,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from modalith.operators.tables import persisted
 from modalith.sources.media import Fetcher, by_archive
 from modalith.sources.spec import COLUMN, SHARDS, DatasetSpec
+from modalith.sources.storage import openers
 
 _LOG = logging.getLogger(__name__)
 
@@ -110,10 +112,10 @@ def apply(df: DataFrame, spec: DatasetSpec, extractor: Extractor, on_error: str
     schema = T.StructType([*kept.schema, *extractor.schema, T.StructField("_ok", T.BooleanType())])
     sources = {m: (spec[m].final, spec[m].how == COLUMN) for m in extractor.modalities}
     ext = spec.archive_ext if spec.layout == SHARDS else None
-    size, names, strict = extractor.batch_size, extractor.columns, on_error == "raise"
+    size, names, strict, found = extractor.batch_size, extractor.columns, on_error == "raise", openers()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        state, get = extractor.setup(), Fetcher(ext)
+        state, get = extractor.setup(), Fetcher(ext, found)
         for whole in batches:
             for at in range(0, len(whole), size):
                 some = whole.iloc[at : at + size].reset_index(drop=True)
@@ -140,6 +142,8 @@ def apply(df: DataFrame, spec: DatasetSpec, extractor: Extractor, on_error: str
     if tasks and not (sharded and spec.layout == SHARDS):
         kept = kept.repartition(tasks)
     out = (by_archive(kept, spec) if sharded else kept).mapInPandas(run, schema, profile=profile)
+    if validate and not strict:
+        out = persisted(out)  # the check and what comes after it share one run of the extractor
     if validate and not strict and not out.where(~F.col("_ok")).isEmpty():
         raise ExtractionError(f"{type(extractor).__name__} failed on some rows")
     return out.drop("_ok")

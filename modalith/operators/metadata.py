@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from modalith.functions.columns import base_name
-from modalith.operators.tables import has_repeats, update_by_key
-from modalith.sources.readers import header, read_table, shard_tables
+from modalith.operators.tables import persisted, update_by_key
+from modalith.sources.readers import headers, read_table, shard_tables
 from modalith.sources.spec import COLUMN, FILES, SHARDED, DatasetSpec
 from modalith.sources.storage import stem
 from modalith.sources.writers import write_single_table
@@ -22,6 +22,16 @@ def _tables(spark: SparkSession, spec: DatasetSpec) -> list[str]:
     return [spec.path] if spec.layout == FILES else shard_tables(spark, spec)
 
 
+def _alike(spark: SparkSession, paths: list[str], column: str) -> list[list[str]]:
+    """The tables by their columns: those of one list are one scan."""
+    out: dict[tuple[str, ...], list[str]] = {}
+    for p, h in headers(spark, paths).items():
+        if column not in h:
+            raise KeyError(f"{p}: no column {column}")
+        out.setdefault(tuple(h), []).append(p)
+    return list(out.values())
+
+
 def _rewrite(spark: SparkSession, paths: list[str], change: Callable[[str, DataFrame], DataFrame]) -> list[str]:
     """What went wrong, a line for each table that could not be written."""
     errors = []
@@ -38,8 +48,7 @@ def _rewrite(spark: SparkSession, paths: list[str], change: Callable[[str, DataF
 
 def rename_columns(spark: SparkSession, spec: DatasetSpec, names: dict[str, str]) -> list[str]:
     paths = _tables(spark, spec)
-    for p in paths:
-        have = header(spark, p)
+    for p, have in headers(spark, paths).items():
         lacking, clash = sorted(set(names) - set(have)), sorted(set(names.values()) & set(have) - set(names))
         if lacking or clash:
             raise KeyError(f"{p}: no column {lacking}" if lacking else f"{p}: there is already a column {clash}")
@@ -51,8 +60,8 @@ def delete_columns(spark: SparkSession, spec: DatasetSpec, columns: list[str]) -
     if kept:
         raise ValueError(f"{kept} hold the dataset's modalities")
     paths = _tables(spark, spec)
-    for p in paths:
-        lacking = sorted(set(columns) - set(header(spark, p)))
+    for p, have in headers(spark, paths).items():
+        lacking = sorted(set(columns) - set(have))
         if lacking:
             raise KeyError(f"{p}: no column {lacking}")
     return _rewrite(spark, paths, lambda _, df: df.drop(*columns))
@@ -71,10 +80,15 @@ def update_columns(spark: SparkSession, spec: DatasetSpec, df: DataFrame, column
     new = df.select("split_name", base_name(F.col(key.final)).alias(key.user_column), *columns)
     touched = {r[0] for r in new.select("split_name").distinct().collect()}  # a name for each table
     paths = [p for p in _tables(spark, spec) if stem(p) in touched]
-    for p in paths:
-        mine, old = new.where(F.col("split_name") == stem(p)).select(key.user_column), read_table(spark, p).select(key.user_column)
-        if has_repeats(mine, key.user_column) or has_repeats(old, key.user_column):
-            raise ValueError(f"{p}: repeated values of {key.user_column}")
-        if not mine.exceptAll(old).isEmpty() or not old.exceptAll(mine).isEmpty():
-            raise ValueError(f"{p}: the update has not the table's rows")
+    # all tables at once: how often each name is in the update and in its table
+    name = key.user_column
+    mine = new.select("split_name", F.col(name).alias("name"), F.lit(1).alias("n"), F.lit(0).alias("o"))
+    for some in _alike(spark, paths, name):
+        theirs = read_table(spark, some).select(F.regexp_extract("_metadata.file_name", r"^([^.]*)", 1).alias("split_name"), F.col(name).cast("string").alias("name"), F.lit(0).alias("n"), F.lit(1).alias("o"))
+        mine = mine.unionByName(theirs)
+    each = mine.groupBy("split_name", "name").agg(F.sum("n").alias("n"), F.sum("o").alias("o"))
+    odd = each.where("n <> 1 or o <> 1").groupBy("split_name").agg(F.max(F.greatest("n", "o")).alias("most")).orderBy("split_name").first()
+    if odd:
+        raise ValueError(f"{odd['split_name']}: " + (f"repeated values of {name}" if odd["most"] > 1 else "the update has not the table's rows"))
+    new = persisted(new.repartition("split_name"))
     return _rewrite(spark, paths, lambda p, old: update_by_key(old, new.where(F.col("split_name") == stem(p)).drop("split_name"), key.user_column))

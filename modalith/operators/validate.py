@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from modalith.functions.columns import base_name
 from modalith.operators.tables import has_repeats
 from modalith.sources.media import archive_members
-from modalith.sources.readers import header, read_table
+from modalith.sources.readers import header, headers, read_table
 from modalith.sources.spec import COLUMN, FILES, SHARDED, SHARDS, DatasetSpec
 from modalith.sources.storage import Storage, join, stem
 
@@ -90,8 +90,9 @@ def validate(spark: SparkSession, df: DataFrame, spec: DatasetSpec, check: list[
     paired = [n for n in names if n.endswith(f".{spec.table_ext}") and n[: -len(spec.table_ext) - 1] + suffix in have]
     path_of = {stem(n): join(spec.path, n) for n in paired}
     heads: dict[tuple[str, ...], list[str]] = {}
+    by_path = headers(spark, list(path_of.values()))
     for path in path_of.values():
-        h = header(spark, path)
+        h = by_path[path]
         heads.setdefault(tuple(h), []).append(path)
         lacking = sorted(set(check) - set(h))
         if lacking:

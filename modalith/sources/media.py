@@ -12,13 +12,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from modalith.sources.spec import SHARDS, DatasetSpec
-from modalith.sources.storage import open_tar, read_bytes
+from modalith.sources.storage import adopt, open_tar, openers, read_bytes
 
 
 class Fetcher:
     """Bytes by path. A path through an archive (.../3.tar/name) is that member, found by base name; the last archive stays open."""
 
-    def __init__(self, archive_ext: str | None) -> None:
+    def __init__(self, archive_ext: str | None, found: dict | None = None) -> None:
+        """found: the openers of the driver, in a task."""
+        adopt(found or {})
         self.mark = f".{archive_ext}/" if archive_ext else None
         self.archive: str | None = None
         self.tar: tarfile.TarFile | None = None
@@ -54,10 +56,10 @@ def by_archive(df: DataFrame, spec: DatasetSpec) -> DataFrame:
 def with_bytes(df: DataFrame, spec: DatasetSpec, modality: str, column: str, on_error: str = "raise") -> DataFrame:
     """df with a column of the modality's bytes. on_error: raise, or null for what can't be read."""
     path = spec[modality].final
-    ext = spec.archive_ext if spec.layout == SHARDS else None
+    ext, found = spec.archive_ext if spec.layout == SHARDS else None, openers()
 
     def fetch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        get = Fetcher(ext)
+        get = Fetcher(ext, found)
         for batch in batches:
             for at in range(0, len(batch), 64):  # few blobs at a time
                 some = batch.iloc[at : at + 64].copy()
@@ -79,8 +81,10 @@ def with_bytes(df: DataFrame, spec: DatasetSpec, modality: str, column: str, on_
 
 def archive_members(df_archives: DataFrame) -> DataFrame:
     """(archive, member, bytes) of every file in the archives of a column path."""
+    found = openers()
 
     def expand(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        adopt(found)
         for batch in batches:
             for path in batch["path"]:
                 with open_tar(path) as tar:

@@ -6,14 +6,19 @@ then the place in its table.
 
 from __future__ import annotations
 
+import csv
+import io
+from collections.abc import Iterator
 from functools import reduce
 
+import pandas as pd
+import pyarrow.parquet as pq
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from modalith.sources.spec import FILES, MODALITIES, SHARDED, SHARDS, DatasetSpec
-from modalith.sources.storage import Storage, join, stem, table_format
+from modalith.sources.storage import Storage, adopt, join, open_bytes, openers, scheme, stem, table_format
 
 ROW_ID = "_row_id"
 
@@ -34,6 +39,29 @@ def header(spark: SparkSession, path: str) -> list[str]:
     return spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path).columns
 
 
+def headers(spark: SparkSession, paths: list[str]) -> dict[str, list[str]]:
+    """Column names of many tables of one format. The first lines of all CSV tables, or the footers of all Parquet ones, are read by one
+    job, a task for some tables, and only these come to the driver."""
+    if len(paths) < 2 or any(scheme(p) not in ("", "file") and scheme(p) not in openers() for p in paths):
+        return {p: header(spark, p) for p in paths}
+    found = openers()
+
+    def first(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        adopt(found)
+        for batch in batches:
+            names = []
+            for path in batch["path"]:
+                with open_bytes(path) as f:
+                    if table_format(path) == "parquet":
+                        names.append(pq.read_schema(f).names)
+                    else:
+                        names.append(next(csv.reader(io.TextIOWrapper(f, encoding="utf-8", newline="")), []))
+            yield pd.DataFrame({"path": batch["path"], "names": names})
+
+    rows = spark.createDataFrame([(p,) for p in paths], "path string").repartition(min(len(paths), 256)).mapInPandas(first, "path string, names array<string>").collect()
+    return {r["path"]: list(r["names"]) for r in rows}
+
+
 def shard_order(split: Column) -> list[Column]:
     """Numbers in order of size, then other names by letter."""
     return [F.coalesce(F.regexp_extract(split, r"^(\d{1,18})$", 1).try_cast("long"), F.lit(1 << 62)), split]
@@ -93,8 +121,9 @@ def read_sharded(spark: SparkSession, spec: DatasetSpec, validate_columns: bool
     """
     tables = shard_tables(spark, spec)
     heads: dict[tuple[str, ...], list[str]] = {}
+    by_table = headers(spark, tables)
     for t in tables:
-        heads.setdefault(tuple(header(spark, t)), []).append(t)
+        heads.setdefault(tuple(by_table[t]), []).append(t)
     if validate_columns and len({frozenset(h) for h in heads}) > 1:
         raise ValueError(f"tables differ in their columns: {[sorted(h) for h in heads]}")
     parts = []

@@ -14,7 +14,7 @@ from typing import BinaryIO
 
 from pyspark.sql import SparkSession
 
-#: scheme -> opener(path, mode); tasks get it by pickling what uses it.
+#: scheme -> opener(path, mode) of this process. What goes to tasks takes them along, see `openers` and `adopt`.
 _OPENERS: dict[str, Callable[[str, str], BinaryIO]] = {}
 
 
@@ -31,6 +31,16 @@ def register(name: str, opener: Callable[[str, str], BinaryIO]) -> None:
     _OPENERS[name] = opener
 
 
+def openers() -> dict[str, Callable[[str, str], BinaryIO]]:
+    """Those registered so far, for what is pickled."""
+    return dict(_OPENERS)
+
+
+def adopt(found: dict[str, Callable[[str, str], BinaryIO]]) -> None:
+    """In a task: the openers of the process that sent it."""
+    _OPENERS.update(found)
+
+
 def local(path: str) -> str:
     return path.removeprefix("file://")
 
@@ -120,9 +130,11 @@ def stem(path: str) -> str:
 
 
 def work_folder(spark: SparkSession, name: str) -> str:
-    """A new folder in the one that spark.checkpoint.dir names; where it is unset, as in tests, on this machine."""
+    """A new folder in the one that spark.checkpoint.dir names; where it is unset and all runs on this machine, as in tests, here."""
     import tempfile
     import uuid
 
     root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     return join(root, f"{name}-{uuid.uuid4().hex}") if root else tempfile.mkdtemp(prefix=f"modalith-{name}-")

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from modalith.operators.tables import dense_index
 from modalith.sources.media import Fetcher
 from modalith.sources.spec import COLUMN, FOLDERS, MODALITIES, SHARDS, DatasetSpec, Stored
-from modalith.sources.storage import Storage, local, scheme
+from modalith.sources.storage import Storage, local, openers, scheme
 
 _DONE = "shard long, rows long, temporary string"
 
@@ -90,8 +90,10 @@ def write(
     files = {s.final: MODALITIES[s.modality].name for s in spec.stored if s.how != COLUMN}
     base = first * max_files
 
+    found = openers()
+
     def build(rows: pd.DataFrame) -> pd.DataFrame:
-        get, shard = Fetcher(ext), int(rows["_shard"].iloc[0])
+        get, shard = Fetcher(ext, found), int(rows["_shard"].iloc[0])
         temporary = os.path.join(root, f".{shard}-{uuid.uuid4().hex}")
         os.makedirs(temporary)
         names = [n for n in column_order([*files.values(), *(c for c in own if c not in files), *extra])]
