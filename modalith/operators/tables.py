@@ -98,17 +98,24 @@ def describe(df: DataFrame, columns: list[str], digits: int = 2) -> DataFrame:
     return rows.select("column", "count", r("mean").alias("mean"), r("std").alias("std"), r("min").alias("min"), *(r(F.col("q")[i]).alias(n) for i, n in enumerate(("p25", "p50", "p75"))), r("max").alias("max"))
 
 
-def shuffled(df: DataFrame, seed: int | None = None) -> DataFrame:
-    """df in a random order, of which _row_id is the new one. With a seed and a key column present the order repeats."""
-    rand = F.rand(seed) if seed is not None else F.rand()
-    return df.drop(ROW_ID).withColumn(ROW_ID, rand).orderBy(ROW_ID)
+def shuffled(df: DataFrame, seed: int | None = None, key: list[str] | None = None) -> DataFrame:
+    """df in a random order, of which _row_id is the new one. With a seed the order is that of a digest of the seed and the key columns,
+    by default all of them, and repeats however the rows are partitioned."""
+    if seed is None:
+        order = F.rand()
+    else:
+        values = [F.coalesce(F.to_json(F.struct(F.col(c).alias("v"))), F.lit("")) for c in key or [c for c in df.columns if c != ROW_ID]]
+        order = F.md5(F.concat_ws("\x1f", F.lit(str(seed)), *values))
+    return df.drop(ROW_ID).withColumn(ROW_ID, order).orderBy(ROW_ID)
 
 
 def persisted(df: DataFrame) -> DataFrame:
     """df, computed once and written to the folder in spark.checkpoint.dir, from which lost parts are read again. Only where the session
-    names none, as in tests, a folder is made on this machine."""
+    names none and runs on this machine alone, as in tests, a folder is made here."""
     sc = df.sparkSession.sparkContext
     if not df.sparkSession.conf.get("spark.checkpoint.dir", None) and sc.getCheckpointDir() is None:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="modalith-"))
     return df.checkpoint(eager=True)
 

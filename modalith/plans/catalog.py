@@ -102,7 +102,7 @@ def path_columns_from_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT doc_id, {_plain_sql('text')} AS clean_caption FROM documents")
 def regex_clean_native(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _table(spark, sf_dir, "documents").select("doc_id", _plain("text").alias("clean_caption"))
+    return _table(spark, sf_dir, "documents").select("doc_id", captions.clean_native(F.lower("text"), PLAIN_RULES).alias("clean_caption"))
 
 
 @query()
@@ -143,9 +143,13 @@ def translate_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.translated(d, "text", lambda texts: [f"{len(t)}:{t}!" for t in texts])
 
 
-@query("SELECT event_id, CAST(json_extract(props, '$.k') AS INTEGER) AS k FROM events")
+@query("SELECT p_partkey, 'size ' || p_size AS word, CAST(p_partkey % 50 AS INTEGER) AS x0, CAST(p_size AS INTEGER) AS y1, round(abs((CAST(p_partkey % 50 AS DOUBLE) - 7) * (3 - p_size)) / 5000, 6) AS area FROM part")
 def json_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _table(spark, sf_dir, "events").select("event_id", F.from_json("props", "k int")["k"].alias("k"))
+    text = F.format_string('[[[[%d, 3], [7, %d]], "size %d"]]', F.col("p_partkey") % 50, F.col("p_size"), F.col("p_size"))
+    text = F.regexp_replace(text, r"^\[\[(\[\[.*\]\]), ", '[["$1", ')  # the box of a pair is JSON of its own
+    d = _table(spark, sf_dir, "part").select("p_partkey", X.boxes_from_json(text)[0].alias("b"))
+    box = F.col("b.box")
+    return d.select("p_partkey", F.col("b.text").alias("word"), box[0][0].alias("x0"), box[1][1].alias("y1"), F.round(X.text_area(F.array(box), F.lit(100), F.lit(50)), 6).alias("area"))
 
 
 # rows
@@ -169,8 +173,7 @@ def duplicate_values(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT count(*) > count(DISTINCT text) AS has_duplicates FROM documents")
 def has_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = _table(spark, sf_dir, "documents").groupBy("text").agg(F.count("*").alias("n"))
-    return d.agg((F.max("n") > 1).alias("has_duplicates"))
+    return spark.createDataFrame([(tables.has_repeats(_table(spark, sf_dir, "documents"), "text"),)], "has_duplicates boolean")
 
 
 @query("SELECT doc_id, n_chars FROM documents JOIN labels USING (doc_id) WHERE quality > 0 AND NOT toxic > 0 AND n_chars > 200")
@@ -250,9 +253,12 @@ def rank_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.rank_slice(_table(spark, sf_dir, "documents").select("doc_id"), 2, 4, [F.col("doc_id")])
 
 
-@query("SELECT doc_id, n_chars FROM documents")
+@query("""
+    SELECT doc_id, n_chars, row_number() OVER (ORDER BY md5('3' || chr(31) || '{"v":' || doc_id || '}')) - 1 AS place FROM documents
+""")
 def shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tables.shuffled(_table(spark, sf_dir, "documents").select("doc_id", "n_chars"), seed=3).select("doc_id", "n_chars")
+    d = tables.shuffled(_table(spark, sf_dir, "documents").select("doc_id", "n_chars"), seed=3, key=["doc_id"])
+    return tables.dense_index(d, [F.col("_row_id")], "place").select("doc_id", "n_chars", "place")
 
 
 @query("SELECT CAST(1 AS BIGINT) AS drawn, true AS matches")
@@ -403,8 +409,12 @@ def stream_window_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 # media
 
 
-def _pictures(spark: SparkSession, sf_dir: str, archives: bool) -> DatasetSpec:
-    """A picture for every nation, 8 + key wide and 5 + region high, a damaged one for every seventh; as files or in five archives."""
+def _pictures(spark: SparkSession, sf_dir: str, archives: bool, faults: bool = False, alike: bool = False) -> DatasetSpec:
+    """A picture for every nation, 8 + key wide and 5 + region high, a damaged one for every seventh; as files or in five archives.
+
+    faults: every sixth picture is missing, every tenth is in its table twice, every eighth has an unnamed one beside it, and all tables
+    but that of region 4 have a column more. alike: all pictures are of one size, and those of keys that agree modulo 5 are the same.
+    """
     folder = work_folder(spark, "media")
     at = local(folder).removeprefix("file:")
     os.makedirs(at, exist_ok=True)
@@ -412,11 +422,16 @@ def _pictures(spark: SparkSession, sf_dir: str, archives: bool) -> DatasetSpec:
     lines: dict[int, list[str]] = {}
     tars: dict[int, tarfile.TarFile] = {}
     for key, region, name in rows:
-        px = np.random.default_rng(key % 5).integers(0, 255, (5 + region, 8 + key, 3)).astype(np.uint8)
+        px = np.random.default_rng(key % 5).integers(0, 255, (40, 40, 3) if alike else (5 + region, 8 + key, 3)).astype(np.uint8)
         blob = b"no picture" if key % 7 == 6 else encode_png(px)
         shard = region if archives else 0
-        lines.setdefault(shard, ["file,title"]).append(f"{key}.png,{name}")
+        more = faults and shard != 4
+        lines.setdefault(shard, ["file,title,more" if more else "file,title"]).extend([f"{key}.png,{name}" + ",x" * more] * (2 if faults and key % 10 == 9 else 1))
         if archives:
+            if faults and key % 6 == 5:
+                continue
+            if faults and key % 8 == 7:
+                lines[shard].pop()
             tar = tars.setdefault(shard, None) or tarfile.open(f"{at}/{shard}.tar", "w")
             tars[shard] = tar
             info = tarfile.TarInfo(f"{key}.png")
@@ -450,10 +465,17 @@ def image_info_loose_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _facts(extractors.image_info_native(Dataset.read(spark, _pictures(spark, sf_dir, False)).df))
 
 
-@query("SELECT CAST(n_nationkey AS INTEGER) AS n, CASE WHEN n_nationkey % 7 <> 6 THEN 48 END AS digits FROM nation")
+@query("""
+    SELECT CAST(n_nationkey AS INTEGER) AS n, CASE WHEN n_nationkey % 7 <> 6 THEN 48 END AS digits,
+           CASE WHEN n_nationkey % 7 <> 6 THEN CAST(min(n_nationkey) OVER (PARTITION BY n_nationkey % 5, n_nationkey % 7 = 6) AS INTEGER) END AS least_alike
+    FROM nation
+""")
 def phash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = Dataset.read(spark, _pictures(spark, sf_dir, True)).extract(extractors.PerceptualHash(), on_error="null", validate=False).df
-    return d.select(X.path_stem(F.col("image_path")).cast("int").alias("n"), F.length("image_phash_8").alias("digits"))
+    """Which pictures have the same hash: the least of them."""
+    d = Dataset.read(spark, _pictures(spark, sf_dir, True, alike=True)).extract(extractors.PerceptualHash(), on_error="null", validate=False).df
+    d = d.select(X.path_stem(F.col("image_path")).cast("int").alias("n"), F.col("image_phash_8").alias("h"))
+    least = d.where("h is not null").groupBy("h").agg(F.min("n").alias("least_alike"))
+    return d.join(least, "h", "left").select("n", F.length("h").alias("digits"), "least_alike")
 
 
 @query("SELECT n_regionkey::VARCHAR AS split_name, n_nationkey::VARCHAR || '.png' AS member FROM nation")
@@ -501,7 +523,32 @@ def resize_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return new.extract(extractors.ImageInfo()).df.select("n", "width")
 
 
-@query("SELECT 0 AS structure_problems, 0 AS table_problems")
+@query("""
+    WITH d AS (SELECT n_nationkey AS k, n_regionkey AS r FROM nation),
+    t AS (SELECT * FROM d WHERE k % 8 <> 7 OR k % 6 = 5)
+    SELECT 'missing_value' AS kind, r || '.csv' AS place, k || '.png' AS value FROM t WHERE k % 6 = 5
+    UNION ALL SELECT DISTINCT 'duplicated_values', r || '.csv', NULL FROM t WHERE k % 10 = 9
+    UNION ALL SELECT 'missed_columns', '4.csv', 'more'
+    UNION ALL SELECT 'is_not_key', NULL, NULL
+    UNION ALL SELECT 'file_not_in_data', k || '.png', NULL FROM d WHERE k % 8 = 7 AND k % 6 <> 5 AND k % 10 <> 9
+    UNION ALL SELECT 'no_such_file', k || '.png', NULL FROM t JOIN (SELECT DISTINCT r FROM d WHERE k % 8 = 7 AND k % 6 <> 5 AND k % 10 <> 9) USING (r) WHERE k % 6 = 5
+""")
 def validate_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = Dataset.read(spark, _pictures(spark, sf_dir, True)).validate()
-    return spark.createDataFrame([(len(r.structure), sum(map(len, r.tables.values())))], "structure_problems int, table_problems int")
+    """The problems of a set with planted ones."""
+    spec = _pictures(spark, sf_dir, True, faults=True)
+    report = Dataset.read(spark, spec, validate_columns=False).validate(["file", "title", "more"], extras=True)
+    found = [*report.structure, *(p for ps in report.tables.values() for p in ps)]
+    return spark.createDataFrame([(p.kind, p.path and p.path.rpartition("/")[2], p.value) for p in found], "kind string, place string, value string")
+
+
+@query("SELECT CAST(n_nationkey AS INTEGER) AS n, n_name AS text, CAST(n_nationkey * 3 AS VARCHAR) AS points, CASE WHEN n_regionkey = 1 THEN 'one' END AS place FROM nation WHERE n_regionkey <> 9")
+def metadata_rewrite(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Columns of tables on disk are updated, renamed and deleted."""
+    spec = _pictures(spark, sf_dir, True)
+    n = X.path_stem(F.col("image_path")).cast("int")
+    d = Dataset.read(spark, spec).with_column("score", n * 3).with_column("gone", n).with_column("place", F.when(F.col("split_name") == "1", "one"))
+    d.update_columns(["score", "gone", "place"])
+    d.rename_columns({"score": "points"})
+    d.delete_columns(["gone"])
+    new = Dataset.read(spark, spec).df
+    return new.select(X.path_stem(F.col("image_path")).cast("int").alias("n"), "text", F.col("points").cast("string").alias("points"), "place", *(c for c in new.columns if c in ("gone", "score")))

@@ -9,6 +9,7 @@ from typing import Any
 
 from pyspark.sql import DataFrame
 
+from modalith.operators.tables import persisted
 from modalith.operators.transforms import Resizer, VideoTransform
 from modalith.plans.dataset import Dataset
 
@@ -35,8 +36,8 @@ def logger(name: str, folder: str | None = None) -> logging.Logger:
 
 @dataclass
 class Pipeline:
-    """on_error of a stage: stop raises; continue leaves the dataset as it was before the stage, and for that runs the stage at once,
-    as a lazy one would fail elsewhere. counts: log rows after each stage, which runs the plan each time."""
+    """on_error of a stage: stop raises; continue leaves the dataset as it was before the stage, and for that runs the stage at once and
+    keeps its rows, as a lazy one would fail elsewhere. counts: log rows after each stage, which runs the plan each time."""
 
     name: str
     logs: str | None = None
@@ -81,7 +82,7 @@ class Pipeline:
             try:
                 new = stage.run(d)
                 if stage.on_error == CONTINUE:
-                    new.df.write.format("noop").mode("overwrite").save()
+                    new = new.with_df(persisted(new.df))
             except Exception:
                 if stage.on_error == STOP:
                     raise

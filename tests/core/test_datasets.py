@@ -355,3 +355,39 @@ def test_tar_with_folders_inside(tmp_path):
     with tarfile.open(tmp_path / "0.tar", "w") as t:
         t.add(tmp_path / "deep" / "x.bin", "some/folder/x.bin")
     assert Fetcher("tar")(f"{tmp_path}/0.tar/x.bin") == b"abc"
+
+
+def test_registered_openers_reach_tasks(spark, tmp_path):
+    from modalith.sources import storage
+    from modalith.sources.media import with_bytes
+
+    root = str(tmp_path / "blobs")
+    write(tmp_path / "blobs" / "a.png", picture(1))
+    storage.register("mem", lambda path, mode: open(f"{root}/{path.rpartition('/')[2]}", mode))
+    try:
+        df = spark.createDataFrame([("mem://bucket/a.png",)], "image_path string").repartition(2)
+        assert bytes(with_bytes(df, S.files_spec("x.csv", image="image_path"), "image", "blob").first()["blob"]) == picture(1)
+    finally:
+        storage._OPENERS.pop("mem")
+
+
+def test_headers_of_many_tables_take_one_job(spark, tmp_path):
+    from modalith.sources.readers import headers
+
+    paths = []
+    for i in range(12):
+        write(tmp_path / f"{i}.csv", f'a,"b, {i}"\n1,2\n')
+        paths.append(str(tmp_path / f"{i}.csv"))
+    spark.sparkContext.setJobGroup("heads", "")
+    got = headers(spark, paths)
+    jobs = spark.sparkContext.statusTracker().getJobIdsForGroup("heads")
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert got == {p: ["a", f"b, {i}"] for i, p in enumerate(paths)} and len(jobs) <= 2
+
+
+def test_shuffle_repeats_however_rows_are_partitioned(spark):
+    from modalith.operators import tables
+
+    df = spark.range(500)
+    one, two, other = ([r["id"] for r in tables.shuffled(d, s).collect()] for d, s in ((df.repartition(3), 1), (df.repartition(5), 1), (df, 2)))
+    assert one == two != other and sorted(one) == list(range(500))
