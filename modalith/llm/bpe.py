@@ -38,7 +38,7 @@ PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\p{L}\p{N}\s]+|\s+(?!\S)|
 #: The same for texts without the characters of odd_characters(), in terms of the faster standard module.
 _FAST = r"'(?:[sdmt]|ll|ve|re)| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+"
 #: What a worker remembers at most, in a young and an old generation of so many each: pre-tokens, moves; and pairs of tokens.
-MEMO, MOVES, PAIRS = 400_000, 200_000, 500_000
+MEMO, MOVES, PAIRS = 200_000, 80_000, 250_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
