@@ -44,8 +44,8 @@ def brute(spark, sf):
     sizes.append(len(rows))
     leak = LeakParams()
     items = [normalised(r["text"]) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
-    budgets = [(s, int(leak.error_rate * len(s)) if len(s) >= leak.min_chars else 0) for s in items]
-    rows = [(d, t) for d, t in rows if not any(edits(s, normalised(t)) <= k for s, k in budgets)]
+    budgets = [(f" {s} ", int(leak.error_rate * len(s)) if len(s) >= leak.min_chars else 0) for s in items if len(s) >= leak.least_chars]
+    rows = [(d, t) for d, t in rows if not any(edits(s, f" {normalised(t)} ") <= k for s, k in budgets)]
     sizes.append(len(rows))
     enc = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=load_ranks(VOCABULARY), special_tokens={})
     return {d: enc.encode_ordinary(t) for d, t in rows}, sizes
