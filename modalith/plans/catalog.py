@@ -113,8 +113,8 @@ def regex_clean_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def regex_clean_exact_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = _table(spark, sf_dir, "conversations")
-    return d.select("conv_id", "turn", *(captions.clean(F.col("text"), captions.RULES[k]).alias(f"clean_caption_{k}") for k in ("en", "ru")))
+    d = _table(spark, sf_dir, "conversations").select("conv_id", "turn", captions.cleaned(F.col("text"), {k: captions.RULES[k] for k in ("en", "ru")}).alias("c"))
+    return d.select("conv_id", "turn", *(F.col(f"c.{k}").alias(f"clean_caption_{k}") for k in ("en", "ru")))
 
 
 @query()

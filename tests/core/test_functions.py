@@ -2,6 +2,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -115,6 +116,24 @@ def test_language_rules_are_a_query(spark, tmp_path):
             assert got[i][f"clean_caption_{name}"] == want
 
 
+def test_language_rules_share_one_worker_and_few_texts(spark, tmp_path):
+    texts = [f"Photo {i} of 5 купить со скидкой" if i % 7 else None for i in range(259)]
+    spark.createDataFrame([(i, 0, t) for i, t in enumerate(texts)], "conv_id long, turn long, text string").coalesce(1).write.parquet(f"{tmp_path}/conversations.parquet")
+    df = catalog.QUERIES["regex_clean_exact_languages"](spark, str(tmp_path))
+    assert str(df._jdf.queryExecution().executedPlan()).count("ArrowEvalPython") == 1
+    sets = {k: captions.RULES[k] for k in ("en", "ru")}
+    want = []
+    for t in texts:
+        made = dict.fromkeys(sets, t)
+        for k, rules in sets.items():
+            for p, r in rules if t else ():
+                made[k] = captions.cut(made[k], re.compile(p), r)
+        want.append(made)
+    assert [(r["clean_caption_en"], r["clean_caption_ru"]) for r in df.orderBy("conv_id").collect()] == [(w["en"], w["ru"]) for w in want]
+    slices = list(captions.swept([pa.array(texts), pa.array([], pa.string())], sets))
+    assert max(map(len, slices)) == captions.SLICE and [x for s in slices for x in s.to_pylist()] == want
+
+
 def test_cut_works_on_the_stripped_lower_case():
     rule = re.compile("photo")
     assert captions.cut("A PHOTO of", rule, "") == "A  of"
